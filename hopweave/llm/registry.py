@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op10_language_id
 from .near_dup import op9_near_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dup": op9_near_dup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
