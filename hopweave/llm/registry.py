@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op10_language_id
 from .near_dup import op9_near_dup
+from .repeats import op5_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_repeats": op5_repeats,
     "op9_near_dup": op9_near_dup,
     "op10_language_id": op10_language_id,
 }
