@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op10_language_id
+from .mixing import op8_mixing
 from .near_dup import op9_near_dup
+from .packing import op4_packing
 from .repeats import op5_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
+    "op8_mixing": op8_mixing,
     "op9_near_dup": op9_near_dup,
     "op10_language_id": op10_language_id,
 }

@@ -82,6 +82,21 @@ class Words:
         return len(self.start)
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Words between white space, of texts without nulls."""
+    buf, offs = flat(texts)
+    sep = np.zeros(256, bool)
+    sep[list(SPACES)] = True
+    gap = sep[buf]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    heads = offs[:-1][offs[:-1] < len(buf)]
+    first[heads] = ~gap[heads]
+    total = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(first, out=total[1:])
+    return total[offs[1:]] - total[offs[:-1]]
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an array of texts without nulls."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
