@@ -11,8 +11,10 @@ from .mixing import op8_mixing
 from .near_dup import op9_near_dup
 from .packing import op4_packing
 from .repeats import op5_repeats
+from .tokenstore import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_store": op3_token_store,
     "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
     "op8_mixing": op8_mixing,
