@@ -13,6 +13,7 @@ from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op4_packing
 from .repeats import op5_repeats
 from .tokenstore import op3_token_store
+from .toxicity import op7_toxicity
 from .urlfilter import OP2_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
     "op6_neighbours": op6_neighbours,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_near_dup": op9_near_dup,
     "op10_language_id": op10_language_id,
