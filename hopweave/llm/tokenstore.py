@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import as_text, documents, materialise, shared_dir
+from .shared import as_text, documents, shared_dir
 from .textnum import U, chunks, grams
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -122,32 +122,37 @@ def _encode(vocabulary: str):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First chunk of every digest; a partition holds all of a digest."""
+    """Manifest rows, and the first chunk of every digest; a partition holds all of a digest."""
     seen: set[bytes] = set()
     for b in batches:
         keep = []
-        for i, d in enumerate(b.column("digest").to_pylist()):
-            if d not in seen:
+        for i, (d, n) in enumerate(zip(b.column("digest").to_pylist(), b.column("n_ids").to_pylist())):
+            if n < 0:
+                if d in seen:
+                    continue
                 seen.add(d)
-                keep.append(i)
+            keep.append(i)
         yield b.take(pa.array(keep, pa.int64()))
 
 
+SCHEMA = "doc_id long, n_ids long, recipe binary, digest binary, data binary"
+
+
 class Store:
-    """Paths of a written store: ``chunks`` (digest, data) and ``manifest`` (doc_id, n_ids, recipe, digest)."""
+    """A written store: ``chunks`` (digest, data) and ``manifest`` (doc_id, n_ids, recipe, digest). Both
+    are in one table, as one pass writes them; rows of chunks have -1 ids."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.chunks = spark.read.schema("digest binary, data binary").parquet(f"{path}/chunks")
-        self.manifest = spark.read.schema("doc_id long, n_ids long, recipe binary, digest binary").parquet(f"{path}/manifest")
+        both = spark.read.schema(SCHEMA).parquet(path)
+        self.chunks = both.where("n_ids < 0").select("digest", "data")
+        self.manifest = both.where("n_ids >= 0").select("doc_id", "n_ids", "recipe", "digest")
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> Store:
     """Encode and store all texts under ``path``."""
-    spark = docs.sparkSession
-    both = materialise(as_text(docs, id_col, text_col).mapInArrow(_encode(vocabulary), "doc_id long, n_ids long, recipe binary, digest binary, data binary"), "encoded")
-    both.where("data IS NULL").select("doc_id", "n_ids", "recipe", "digest").write.parquet(f"{path}/manifest")
-    both.where("data IS NOT NULL").select("digest", "data").repartition("digest").mapInArrow(_once, "digest binary, data binary").write.parquet(f"{path}/chunks")
-    return Store(spark, path)
+    encoded = as_text(docs, id_col, text_col).mapInArrow(_encode(vocabulary), SCHEMA)
+    encoded.repartition("digest").mapInArrow(_once, SCHEMA).write.option("compression", "zstd").parquet(path)
+    return Store(docs.sparkSession, path)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +177,14 @@ def verify(store: Store, width: int = 2) -> DataFrame:
     """(doc_id, n_ids, n_chunks, root, verified) of every manifest row; ``width`` bytes an id."""
     sound = store.chunks.mapInArrow(_check, "digest binary, sound boolean, n_bytes long").groupBy("digest").agg(F.count("*").alias("stored"), F.min("sound").alias("sound"), F.max("n_bytes").alias("n_bytes"))
     m = store.manifest.withColumn("row", F.xxhash64("doc_id", "digest"))
-    leaves = m.select("row", "digest", "recipe").dropDuplicates(["row"]).mapInArrow(_leaves, "row long, digest binary, rooted boolean")
+    leaves = m.select("row", "digest", "recipe").mapInArrow(_leaves, "row long, digest binary, rooted boolean")
     met = leaves.join(sound, "digest", "left").groupBy("row").agg(
         F.min(F.coalesce(F.col("rooted") & F.col("sound") & (F.col("stored") == 1), F.lit(False))).alias("all_sound"),
         F.sum("n_bytes").alias("n_bytes"),
+        F.count("*").alias("met"),  # n_chunks times the number of equal rows
     )
     n_chunks = (F.length("recipe") / DIGEST).cast("int")
-    good = F.when(n_chunks == 0, F.col("n_ids") == 0).otherwise(F.coalesce(F.col("all_sound") & (F.col("n_bytes") == F.col("n_ids") * width), F.lit(False)))
+    good = F.when(n_chunks == 0, F.col("n_ids") == 0).otherwise(F.coalesce(F.col("all_sound") & (F.col("n_bytes") * n_chunks == F.col("n_ids") * width * F.col("met")), F.lit(False)))
     return m.join(met, "row", "left").select("doc_id", "n_ids", n_chunks.alias("n_chunks"), F.lower(F.hex("digest")).alias("root"), good.alias("verified"))
 
 
