@@ -13,10 +13,12 @@ from .neighbours import OP6_SQL, op6_neighbours
 from .packing import op4_packing
 from .repeats import op5_repeats
 from .tokenstore import op3_token_store
+from .topk import OP1_SQL, op1_top_k
 from .toxicity import op7_toxicity
 from .urlfilter import OP2_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_url_filter": op2_url_filter,
     "op3_token_store": op3_token_store,
     "op4_packing": op4_packing,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op6_neighbours": OP6_SQL,
 }
