@@ -95,7 +95,7 @@ class Pattern:
 
 
 #: Files that are likely HTML pages.
-PAGE_FILES = Pattern(file=["", "*.?htm?", "/^[^.]*$/", "*.{php,jsp,aspx,asp,cgi,do}"])
+PAGE_FILES = Pattern(file=["", "*.htm", "*.html", "*.?htm?", "/^[^.]*$/", "*.{php,jsp,aspx,asp,cgi,do}"])
 
 
 class Router:
