@@ -73,8 +73,8 @@ def lengths(c: np.ndarray) -> np.ndarray:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, limit=CHUNK_BYTES // 2):
-        for at in range(0, b.num_rows, 1024):
-            yield b.slice(at, 1024)
+        for at in range(0, b.num_rows, 256):
+            yield b.slice(at, 256)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

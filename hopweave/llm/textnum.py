@@ -17,7 +17,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INV = U(pow(int(BASE), -1, 1 << 64))
 #: Text bytes that are scanned at once; bounds memory, never what is read.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = bytes([9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 PUNCT = bytes(i for i in range(33, 127) if not chr(i).isalnum())
