@@ -19,14 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import as_text, documents
-from .textnum import CHUNK_BYTES, U, chunks, flat
+from .shared import as_text, documents, materialise
+from .textnum import CHUNK_BYTES, chunks, flat
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -152,27 +151,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 if len(at):
                     yield pa.record_batch([pa.array([lang]), pa.array([doc]), pa.array([at.astype(np.uint16).tobytes()]), pa.array([c[i, at].astype(np.uint32).tobytes()])], names=["lang", "doc_id", "slots", "n"])
 
-    got = sample.mapInArrow(features, "lang string, doc_id long, slots binary, n binary").toPandas().sort_values(["lang", "doc_id"])
-    return None if got.empty else train(got, idf, centroids)
-
-
-def train(got: pd.DataFrame, idf: np.ndarray, centroids: int) -> Model:
-    langs = sorted(got.lang.unique())
-    owner, cents, held = [], [], []
-    for i, lang in enumerate(langs):
-        rows = got[got.lang == lang]
-        c = np.zeros((len(rows), DIM), np.float32)
-        for j, (s, n) in enumerate(zip(rows.slots, rows.n)):
-            c[j, np.frombuffer(s, np.uint16)] = np.frombuffer(n, np.uint32)
+    got = materialise(sample.mapInArrow(features, "lang string, doc_id long, slots binary, n binary"), "language")
+    # one language at a time: about fit_rows sparse rows on the driver
+    each = ((lang, got.where(F.col("lang") == lang).select("doc_id", "slots", "n").orderBy("doc_id").toArrow()) for lang in sorted(sizes))
+    return train(each, idf, centroids)
+
+
+def train(each: Iterator[tuple[str, pa.Table]], idf: np.ndarray, centroids: int) -> Model | None:
+    """Centroids from three quarters of the rows of every language, floors from the others."""
+    langs, owner, cents, held = [], [], [], []
+    for lang, rows in each:
+        if not rows.num_rows:
+            continue
+        c = np.zeros((rows.num_rows, DIM), np.float32)
+        for j, (s, n) in enumerate(zip(rows.column("slots"), rows.column("n"))):
+            c[j, np.frombuffer(s.as_py(), np.uint16)] = np.frombuffer(n.as_py(), np.uint32)
         test = np.arange(len(c)) % 4 == 3
-        x = vectors(c[~test] if (~test).any() else c, idf)
-        cents.append(spherical(x, centroids))
-        owner += [i] * len(cents[-1])
         held.append(c[test])
+        c = c[~test] if (~test).any() else c
+        np.log1p(c, out=c)
+        c *= idf
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        cents.append(spherical(c, centroids))
+        owner += [len(langs)] * len(cents[-1])
+        langs.append(lang)
+    if not langs:
+        return None
     model = Model(langs, np.array(owner), np.concatenate(cents).astype(np.float32), idf, np.zeros(LENGTHS))
-    c = np.concatenate(held)
-    if len(c):
-        model.floor = _floors(model.best(c)[1], lengths(c))
+    parts = [x[at : at + 256] for x in held for at in range(0, len(x), 256)]
+    if parts:
+        model.floor = _floors(np.concatenate([model.best(x)[1] for x in parts]), np.concatenate([lengths(x) for x in parts]))
     return model
 
 
