@@ -256,9 +256,9 @@ def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", fp.alias("fp"))
 
 
-@query(f"WITH s AS (SELECT vec_id, {SIGNS} AS b FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (x.b[i] <> y.b[i])::INTEGER))::INTEGER AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 12")
+@query(f"WITH s AS (SELECT vec_id, {SIGNS} AS b FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (x.b[i] <> y.b[i])::INTEGER))::INTEGER AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 18")
 def near_dup_pairs(spark, sf_dir):
-    return dedup.similar_pairs(_signs(spark, sf_dir), "vec_id", "fp", 12)
+    return dedup.similar_pairs(_signs(spark, sf_dir), "vec_id", "fp", 18)
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY n_chars % 97 ORDER BY doc_id) = 1 AND n_chars % 97 <> 0 AS kept FROM documents")
@@ -269,7 +269,7 @@ def near_dup_keep(spark, sf_dir):
 
 @query()
 def near_dup_keep_radius(spark, sf_dir):
-    return dedup.keep_similar(_signs(spark, sf_dir), "vec_id", "fp", 12).select("vec_id", "kept")
+    return dedup.keep_similar(_signs(spark, sf_dir), "vec_id", "fp", 18).select("vec_id", "kept")
 
 
 @query("""
@@ -374,10 +374,11 @@ def refresh_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", content.refresh(v).alias("r")).select("page_id", "r.*")
 
 
-@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{ABSOLUTE.pattern}', 0)) AS link FROM documents")
+@query(f"WITH t AS (SELECT page_id, 'see ' || url || ', or http://e.com/x?' || page_id || ' (https://f.org)' AS text FROM pages) SELECT page_id, unnest(regexp_extract_all(text, '{ABSOLUTE.pattern}', 0)) AS link FROM t")
 def sniff_absolute_urls(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(ABSOLUTE.pattern), F.lit(0))).alias("link"))
+    p = table(spark, sf_dir, "pages")
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(", or http://e.com/x?"), F.col("page_id").cast("string"), F.lit(" (https://f.org)"))
+    return p.select("page_id", F.explode(F.regexp_extract_all(text, F.lit(ABSOLUTE.pattern), F.lit(0))).alias("link"))
 
 
 @query("SELECT page_id, url, 'GET' AS method, 'hopweave' AS agent, 'Basic dTpw' AS auth, CASE WHEN page_id % 5 = 0 THEN true ELSE false END AS cancelled FROM pages")
