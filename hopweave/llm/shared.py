@@ -37,12 +37,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch; texts of the default number of rows fill workers and their JVM alike.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of ``BATCH_ROWS`` unless the session has its own setting."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def as_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, text as string; extra columns never clash."""
+    small_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
