@@ -3,9 +3,9 @@
 Sketch: one-permutation MinHash of the word pairs of every text, ``BINS`` values, empty bins filled
 from others by a fixed sequence of draws. Graph: in each of ``TREES`` trees documents are sorted by
 their sketch from another bin on; those that agree longest stand next to each other, so every document
-is compared with the ``REACH`` next ones of its bucket (equal first bin). A bucket of any size costs its
-length, and no partner is left out by a cap: more of them only bring nearer ones beside it. Edges join
-a document to its ``NEAREST`` most similar ones of at least ``LEAST`` estimated Jaccard similarity.
+is compared with the ``REACH`` next ones of its bucket (equal first bin), so a bucket of any size costs
+its length. The search is approximate; its recall against brute force is tested. Edges join a document
+to its ``NEAREST`` most similar ones found of at least ``LEAST`` estimated Jaccard similarity.
 
 Path: in every connected component the walk begins at an unvisited document of lowest degree and goes
 to the most similar unvisited neighbour until there is none; then it begins anew. Paths follow each
