@@ -206,7 +206,8 @@ def language(docs: DataFrame, model: Model | None, text: str = "text"):
         cols = [pa.array(langs, pa.string()), pa.array(np.concatenate([*coss, np.zeros(0)])), pa.array(np.concatenate([*bads, np.zeros(0, bool)]))]
         return pa.StructArray.from_arrays(cols, names=["language", "cosine", "rejected"])
 
-    return run(F.col(f"`{text}`").cast("string"))
+    # taken for nondeterministic so that a filter on the result doesn't run it a second time
+    return run.asNondeterministic()(F.col(f"`{text}`").cast("string"))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
