@@ -30,6 +30,8 @@ from .shared import as_text, documents, materialise
 from .textnum import U, Words, chunks, mix
 
 LEAST = 50
+#: Words of the suffixes of an anchor up to which they are copied to be sorted.
+COPIED = 1 << 23
 NAMES = ["tree_id", "n_words", "doc_ids", "starts", "first", "last", "depth"]
 SCHEMA = "tree_id long, n_words int, doc_ids array<long>, starts array<int>, first array<int>, last array<int>, depth array<int>"
 FLAG = np.dtype([("i", "<i4"), ("div", "?"), ("owner", "<i8")])
@@ -156,17 +158,48 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[i
             stack.clear()
 
 
-def part(rights: list[bytes], lefts: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, list]]:
+def _sorted(texts: list[bytes], r: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at word ``pos[i]`` of text ``r[i]``, and the words that each shares
+    with the one before it."""
+    m = len(r)
+    lcp = np.zeros(m, np.int64)
+    size = np.array([len(t) // 4 for t in texts])
+    if int((size[r] - pos).sum()) <= COPIED:
+        rights = [texts[i][p * 4 :] for i, p in zip(r.tolist(), pos.tolist())]
+        order = np.array(sorted(range(m), key=rights.__getitem__))
+        for j in range(1, m):
+            lcp[j] = _common(rights[order[j - 1]], rights[order[j]])
+        return order, lcp
+    # suffixes of few long texts: ranks by doubling, as copies of them would be quadratic
+    used, own = np.unique(r, return_inverse=True)
+    size = size[used]
+    first = np.r_[0, np.cumsum(size + 1)]
+    end = np.repeat(first[1:] - 1, size + 1)  # where a text has ended its rank is 0
+    live = np.arange(len(end)) < end
+    now = np.zeros(len(end), np.int64)
+    now[live] = np.unique(np.concatenate([np.frombuffer(texts[i], ">u4") for i in used]), return_inverse=True)[1] + 1
+    ranks = [now.astype(np.int32)]
+    while (1 << len(ranks) - 1) < size.max():
+        after = np.minimum(np.arange(len(end)) + (1 << len(ranks) - 1), end)
+        now = np.unique(now * (len(end) + 1) + now[after], return_inverse=True)[1]
+        ranks.append(now.astype(np.int32))
+    at, stop = first[own] + pos, end[first[own]]
+    order = np.argsort(now[at], kind="stable")
+    x, y, a, b = at[order[:-1]], at[order[1:]], stop[order[:-1]], stop[order[1:]]
+    n = np.zeros(m - 1, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        n += np.where(ranks[k][np.minimum(x + n, a)] == ranks[k][np.minimum(y + n, b)], 1 << k, 0)
+    lcp[1:] = np.minimum(n, np.minimum(a - x, b - y))
+    return order, lcp
+
+
+def part(order: np.ndarray, lcp: np.ndarray, lefts: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, list]]:
     """Maximal repeats that begin up to ``high`` words left of the occurrences of one anchor.
 
-    ``lefts[i, j]``: word j+1 places left of occurrence i, negative at the beginning of its text.
-    Yields (offset, members, [(first, last, depth), ...]) of every tree, members in suffix order and the
-    root last."""
-    m = len(rights)
-    order = np.array(sorted(range(m), key=rights.__getitem__))
-    lcp = np.zeros(m, np.int64)
-    for j in range(1, m):
-        lcp[j] = _common(rights[order[j - 1]], rights[order[j]])
+    ``order`` and ``lcp`` are those of the suffixes from the anchor on; ``lefts[i, j]``: word j+1 places left
+    of occurrence i, negative at the beginning of its text. Yields (offset, members, [(first, last,
+    depth), ...]) of every tree, members in suffix order and the root last."""
+    m = len(order)
     lefts, low, high = lefts[order], low[order], high[order]
     todo = [(0, np.arange(m))]
     while todo:
@@ -216,6 +249,7 @@ def _cell(rows: list[tuple], least: int, hashes: bool = False) -> Iterator[tuple
     order = np.lexsort((src, m["key"]))
     key = m["key"][order]
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    texts = [r[3] for r in rows]
     docs = np.array([r[0] for r in rows], np.int64)
     ths = np.array([r[1] for r in rows], np.int64)
     starts = np.array([r[2] for r in rows], np.int64)
@@ -225,7 +259,7 @@ def _cell(rows: list[tuple], least: int, hashes: bool = False) -> Iterator[tuple
         at = order[s:e]
         r, mk = src[at], m[at]
         n = e - s
-        rights = [rows[i][3][p * 4 :] for i, p in zip(r.tolist(), mk["pos"].tolist())]
+        suffixes = _sorted(texts, r, mk["pos"].astype(np.int64))
         high = (mk["pos"] - mk["low"]).astype(np.int64)
         width = int(high.max()) + 1
         lefts = np.empty((n, width), np.int64)
@@ -236,24 +270,28 @@ def _cell(rows: list[tuple], least: int, hashes: bool = False) -> Iterator[tuple
                 lefts[j, :q] = np.frombuffer(rows[i][3], ">u4", q, (p - q) * 4)[::-1]
         low = (mk["pos"] - mk["high"]).astype(np.int64)
         where = starts[r] + mk["pos"]
-        for o, members, found in part(rights, lefts, low, high, least):
+        for o, members, found in part(*suffixes, lefts, low, high, least):
             yield int(key[s]), o, docs[r[members]], where[members] - o, found, *([ths[r[members]]] if hashes else [])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of one cell after the other, each distinct row once."""
+    """Rows of one cell after the other, each distinct row once; one row may hold all occurrences of an anchor."""
     now, held, seen = None, [], set()
+
+    def several() -> bool:
+        return sum(len(row[4]) for row in held) > MARK.itemsize
+
     for b in batches:
         for o, *row in zip(*[c.to_pylist() for c in b.columns]):
             if o != now:
-                if len(held) > 1:
+                if several():
                     yield held
                 now, held, seen = o, [], set()
             k = (row[0], row[1], row[2], row[4])
             if k not in seen:
                 seen.add(k)
                 held.append(row)
-    if len(held) > 1:
+    if several():
         yield held
 
 
@@ -294,10 +332,11 @@ def _cuts(least: int):
             out: list[np.ndarray] = []
             for _, _, docs, where, found, th in _cell(cell, least, True):
                 done = np.zeros(len(docs), bool)
+                rank = np.empty(len(docs), np.int64)
+                rank[np.lexsort((where, docs))] = np.arange(len(docs))
                 for f, g, d in found:  # inner intervals first
-                    s = np.arange(f, g + 1)
-                    first = s[np.lexsort((where[s], docs[s]))[0]]
-                    s = s[~done[s] & (s != first)]
+                    s = f + np.flatnonzero(~done[f : g + 1])
+                    s = s[s != f + np.argmin(rank[f : g + 1])]
                     if len(s):
                         done[s] = True
                         out.append(np.stack([docs[s], th[s], where[s], np.full(len(s), d)], axis=1))

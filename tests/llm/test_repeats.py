@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from hopweave.llm.repeats import maximal_repeats, occurrences, without_repeats
+from hopweave.llm import repeats
+from hopweave.llm.repeats import _sorted, maximal_repeats, occurrences, without_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,3 +87,34 @@ def test_cut_keeps_the_first_and_the_rest(spark):
     docs = spark.createDataFrame([(1, f"{own[0]}. {p}, {own[1]}", "en", "a", 1), (2, f"{own[2]}\n{p}\n{own[3]}", "en", "a", 1), (3, own[0], "en", "b", 1)], SCHEMA)
     out = {x.doc_id: x.text for x in without_repeats(docs).collect()}
     assert out == {1: f"{own[0]}. {p}, {own[1]}", 2: f"{own[2]}\n{own[3]}", 3: own[0]}
+
+
+@pytest.mark.parametrize("words", [["a"] * 60, [f"b{i}" for i in range(15)] * 4, ["x", *"cd" * 25, "y"], ["z"] + [f"e{i % 20}" for i in range(70)]])
+def test_a_document_that_repeats_only_itself(spark, words):
+    docs = spark.createDataFrame([(4, " ".join(words), None, None, 0), (5, " ".join(f"u{i}" for i in range(80)), None, None, 0)], SCHEMA)
+    want = brute({4: words}, 12)
+    assert want and got(maximal_repeats(docs, least=12)) == want
+    left = {r.doc_id: r.text for r in without_repeats(docs, least=12).collect()}
+    assert len(left[4].split()) < len(words) and set(left[4].split()) == set(words)
+
+
+def test_long_suffixes_are_sorted_as_short_ones(monkeypatch):
+    r = np.random.default_rng(0)
+    for n in (1, 2, 7, 40):
+        texts = [r.integers(0, 2, k).astype(">u4").tobytes() for k in (n, 3 * n, n)] + [b"\0\0\0\7" * n]
+        texts.append(texts[0])
+        own = np.repeat(np.arange(5), [len(t) // 4 for t in texts])
+        pos = np.concatenate([np.arange(len(t) // 4) for t in texts])
+        some = r.permutation(len(own))[: max(2, len(own) // 2)]
+        want = _sorted(texts, own[some], pos[some])
+        with monkeypatch.context() as m:
+            m.setattr(repeats, "COPIED", -1)
+            got_ = _sorted(texts, own[some], pos[some])
+        assert (want[0] == got_[0]).all() and (want[1] == got_[1]).all()
+
+
+def test_one_word_very_often(spark):
+    docs = spark.createDataFrame([(1, "a " * 30000, None, None, 0)], SCHEMA)
+    tree = maximal_repeats(docs).collect()
+    assert [(r.n_words, len(r.doc_ids), len(r.depth)) for r in tree] == [(50, 29951, 29950)]
+    assert [r.text.strip() for r in without_repeats(docs).collect()] == ["a"]
