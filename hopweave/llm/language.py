@@ -4,10 +4,11 @@ Texts become TF-IDF vectors of hashed byte n-grams (1 to 4 bytes of lower-cased
 characters as one separator), scaled to length one. Every language of the labelled rows gets a few
 centroids by spherical k-means; a text takes the language of the centroid of largest cosine.
 
-Rejection is by distance: a text whose best cosine is below the floor of its length gets no language.
-Short texts are naturally farther from every centroid, so floors are learned per power of two of
-n-grams, from texts that the centroids were not fitted on, and lie ``MARGIN`` below their lowest
-quantile. Document frequencies and their count cover all documents; centroids and floors are fitted on
+Rejection is by distance: a text whose best cosine is below the floor of its language and length gets no
+language. Short texts are naturally farther from every centroid, so floors are learned per power of two of
+n-grams, from texts that the centroids were not fitted on and from their first 1 to 256 words, so
+that short lengths are seen as well: the ``REJECT`` quantile of cosines over the median cosine of
+the length, and ``SLACK`` of that. Document frequencies and their count cover all documents; centroids and floors are fitted on
 about ``FIT_ROWS`` labelled documents per language, drawn by a hash of doc_id.
 
 Defined results: null, empty and letterless texts are rejected with cosine 0; rows keep their order of
@@ -30,8 +31,11 @@ from .textnum import CHUNK_BYTES, chunks, flat
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 SIZES = (1, 2, 3, 4)
-CENTROIDS, FIT_ROWS, MARGIN = 4, 2000, 0.7
+CENTROIDS, FIT_ROWS, REJECT, SLACK = 4, 2000, 0.005, 0.95
+#: Rows that a quantile and a median are taken from at least; fewer are pooled with neighbouring lengths, or all languages.
+POOL, SEEN = 100, 5
 LENGTHS = 24
+SPARSE = ["slots", "n", "short_slots", "short_n"]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -101,7 +105,7 @@ def spherical(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Model:
-    """Centroids of all languages, the idf of every slot, and the floor of every length."""
+    """Centroids of all languages, the idf of every slot, and the floors (languages x lengths)."""
 
     def __init__(self, langs: list[str], owner: np.ndarray, centroids: np.ndarray, idf: np.ndarray, floor: np.ndarray):
         self.langs, self.owner, self.centroids, self.idf, self.floor = langs, owner, centroids, idf, floor
@@ -114,16 +118,31 @@ class Model:
         return own, by[np.arange(len(own)), own]
 
 
-def _floors(cos: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Floor of every length; where few texts of a length were seen, that of the next shorter one, as
-    longer texts lie closer."""
-    floor, last = np.zeros(LENGTHS), 0.0
-    for i in range(LENGTHS):
-        seen = cos[length == i]
-        if len(seen) >= 20:
-            last = max(last, MARGIN * float(np.quantile(seen, 0.001)))
-        floor[i] = last
-    return floor
+def _middles(cos: np.ndarray, length: np.ndarray) -> np.ndarray | None:
+    """Median of every length, between those of lengths seen often enough on a line."""
+    at = np.flatnonzero(np.bincount(length, minlength=LENGTHS) >= SEEN)
+    if not len(at):
+        return None
+    return np.interp(np.arange(LENGTHS), at, [np.median(cos[length == i]) for i in at])
+
+
+def _floors(own: np.ndarray, cos: np.ndarray, length: np.ndarray, n_langs: int) -> np.ndarray:
+    """Floor of every language and length from the best cosines of held-out rows."""
+    every = _middles(cos, length)
+    if every is None:
+        every = np.full(LENGTHS, np.median(cos))
+    middle = [_middles(cos[own == i], length[own == i]) for i in range(n_langs)]
+    middle = np.stack([every if m is None else m for m in middle])
+    ratio = cos / np.maximum(middle[own, length], 1e-6)
+    out = np.zeros((n_langs, LENGTHS))
+    for i in range(n_langs):
+        use = own == i if (own == i).sum() >= POOL else np.ones(len(own), bool)
+        r, n = ratio[use], length[use]
+        for j in range(LENGTHS):
+            away = np.abs(n - j)
+            reach = np.sort(away)[min(POOL, len(away)) - 1]
+            out[i, j] = np.quantile(r[away <= reach], REJECT) * middle[i, j]
+    return np.maximum(SLACK * out, 1e-5)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model | None:
@@ -146,28 +165,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _pieces(batches):
             c = counts(b.column("text"))
-            for i, (lang, doc) in enumerate(zip(b.column("lang").to_pylist(), b.column("doc_id").to_pylist())):
-                at = np.flatnonzero(c[i])
+            ids = b.column("doc_id").to_pylist()
+            words = [1 << (d * 0x9E3779B97F4A7C15 >> 32) % 9 for d in ids]
+            short = counts(pa.array([" ".join((t or "").split(None, n)[:n]) for t, n in zip(b.column("text").to_pylist(), words)], pa.large_string()))
+            for i, (lang, doc) in enumerate(zip(b.column("lang").to_pylist(), ids)):
+                at, few = np.flatnonzero(c[i]), np.flatnonzero(short[i])
                 if len(at):
-                    yield pa.record_batch([pa.array([lang]), pa.array([doc]), pa.array([at.astype(np.uint16).tobytes()]), pa.array([c[i, at].astype(np.uint32).tobytes()])], names=["lang", "doc_id", "slots", "n"])
+                    cols = [x for v, k in ((c[i], at), (short[i], few)) for x in (k.astype(np.uint16).tobytes(), v[k].astype(np.uint32).tobytes())]
+                    yield pa.record_batch([pa.array([lang]), pa.array([doc]), *[pa.array([x]) for x in cols]], names=["lang", "doc_id", *SPARSE])
 
-    got = materialise(sample.mapInArrow(features, "lang string, doc_id long, slots binary, n binary"), "language")
+    got = materialise(sample.mapInArrow(features, "lang string, doc_id long, slots binary, n binary, short_slots binary, short_n binary"), "language")
     # one language at a time: about fit_rows sparse rows on the driver
-    each = ((lang, got.where(F.col("lang") == lang).select("doc_id", "slots", "n").orderBy("doc_id").toArrow()) for lang in sorted(sizes))
+    each = ((lang, got.where(F.col("lang") == lang).select("doc_id", *SPARSE).orderBy("doc_id").toArrow()) for lang in sorted(sizes))
     return train(each, idf, centroids)
 
 
+def _dense(rows: pa.Table, slots: str, n: str) -> np.ndarray:
+    c = np.zeros((rows.num_rows, DIM), np.float32)
+    for j, (s, k) in enumerate(zip(rows.column(slots), rows.column(n))):
+        c[j, np.frombuffer(s.as_py(), np.uint16)] = np.frombuffer(k.as_py(), np.uint32)
+    return c
+
+
 def train(each: Iterator[tuple[str, pa.Table]], idf: np.ndarray, centroids: int) -> Model | None:
     """Centroids from three quarters of the rows of every language, floors from the others."""
     langs, owner, cents, held = [], [], [], []
     for lang, rows in each:
         if not rows.num_rows:
             continue
-        c = np.zeros((rows.num_rows, DIM), np.float32)
-        for j, (s, n) in enumerate(zip(rows.column("slots"), rows.column("n"))):
-            c[j, np.frombuffer(s.as_py(), np.uint16)] = np.frombuffer(n.as_py(), np.uint32)
+        c = _dense(rows, "slots", "n")
         test = np.arange(len(c)) % 4 == 3
-        held.append(c[test])
+        seen = test if test.any() else ~test
+        short = _dense(rows.filter(pa.array(seen)), "short_slots", "short_n")
+        held += [c[seen], short[short.any(axis=1)]]
         c = c[~test] if (~test).any() else c
         np.log1p(c, out=c)
         c *= idf
@@ -177,10 +207,10 @@ def train(each: Iterator[tuple[str, pa.Table]], idf: np.ndarray, centroids: int)
         langs.append(lang)
     if not langs:
         return None
-    model = Model(langs, np.array(owner), np.concatenate(cents).astype(np.float32), idf, np.zeros(LENGTHS))
+    model = Model(langs, np.array(owner), np.concatenate(cents).astype(np.float32), idf, np.zeros((len(langs), LENGTHS)))
     parts = [x[at : at + 256] for x in held for at in range(0, len(x), 256)]
-    if parts:
-        model.floor = _floors(np.concatenate([model.best(x)[1] for x in parts]), np.concatenate([lengths(x) for x in parts]))
+    own, cos = (np.concatenate(x) for x in zip(*[model.best(x) for x in parts]))
+    model.floor = _floors(own, cos, np.concatenate([lengths(x) for x in parts]), len(langs))
     return model
 
 
@@ -199,7 +229,7 @@ def language(docs: DataFrame, model: Model | None, text: str = "text"):
             own, cos = m.best(c)
             some = c.sum(axis=1) > 0
             cos = np.where(some, cos, 0.0)
-            bad = ~some | (cos < m.floor[lengths(c)])
+            bad = ~some | (cos < m.floor[own, lengths(c)])
             langs += [None if x else m.langs[i] for i, x in zip(own, bad)]
             coss.append(np.round(cos.astype(np.float64), 6))
             bads.append(bad)

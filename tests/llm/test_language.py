@@ -62,3 +62,16 @@ def test_odd_rows(spark, model):
     assert fit(docs) is None  # no labelled row with letters
     op = op10_language_id(spark, SF)
     assert op.columns == ["doc_id", "language", "cosine", "rejected"] and op.count() == 200
+
+
+def test_left_out_language_and_short_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    m = fit(docs.where("lang <> 'de'"))
+    assert (m.floor > 0).all()
+    got = identify(docs.where("lang = 'de' AND length(text) > 300"), m).collect()
+    assert sum(r.rejected for r in got) >= 0.9 * len(got)
+    words = ["дом стоит", "на горе и река", "zxqj kwvx qqzz", "ξένος τόπος", "xjxj vkvk"]
+    short = identify(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), m).collect()
+    assert sum(r.rejected for r in short) >= 3
+    kept = identify(docs.where("lang <> 'de'"), m).collect()
+    assert sum(r.rejected for r in kept) <= 0.02 * len(kept)
