@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hopweave.llm.language import fit, language
 from hopweave.llm.mixing import mixed
-from hopweave.llm.near_dup import near_duplicates
+from hopweave.llm.near_dup import near_groups
 from hopweave.llm.packing import packed
 from hopweave.llm.repeats import without_repeats
 from hopweave.llm.shared import documents, materialise
@@ -28,10 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group, that of the smallest doc_id, and all others."""
-    gone = near_duplicates(docs).where("NOT keep").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    return kept.select(*_columns(docs))
+    """One row of every near-duplicate group, of the smallest doc_id, and all rows without a near copy."""
+    groups = materialise(near_groups(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "copies", "keep"), "near")
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th"))
+    kept = docs.join(groups.where("NOT keep OR copies > 1"), same, "left_anti").select(*_columns(docs))
+    # rows kept that are there several times come back once
+    again = docs.join(groups.where("keep AND copies > 1"), same).dropDuplicates(["__id", "__th"]).select(*_columns(docs))
+    return kept.union(again)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

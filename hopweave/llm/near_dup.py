@@ -9,7 +9,8 @@ equal to their weighted Jaccard similarity. Bands of coordinates give candidates
 confirm them, and connected components of the confirmed pairs are the groups.
 
 Defined results: null or word-less texts and rows without a doc_id are in no group; repeated rows and
-equal texts are one group; the smallest doc_id of a group is kept.
+equal texts are one group; the smallest doc_id of a group is kept. Rows are told apart by doc_id and
+text, so one doc_id may stand on several texts; of these the one of the smallest hash counts as first.
 """
 
 from __future__ import annotations
@@ -105,8 +106,8 @@ def _sign(k: int, shingle: int):
             np.add.at(bag, doc, mix(elem ^ mix(count.astype(U))))
             some = np.flatnonzero(np.bincount(doc, minlength=b.num_rows))
             yield pa.record_batch(
-                [b.column("doc_id").take(pa.array(some)), pa.array(bag[some].view(np.int64)), pa.array([sig[i].tobytes() for i in some], pa.binary())],
-                names=["doc_id", "bag", "sig"],
+                [*(b.column(c).take(pa.array(some)) for c in ("doc_id", "th", "node")), pa.array(bag[some].view(np.int64)), pa.array([sig[i].tobytes() for i in some], pa.binary())],
+                names=["doc_id", "th", "node", "bag", "sig"],
             )
 
     return run
@@ -207,27 +208,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = tuple(is_)
 
 
-def near_duplicates(
+def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(doc_id, group_id, keep) of the documents that have a near copy; group_id is the doc_id kept.
-
-    Pairs of weighted Jaccard similarity J become candidates with probability 1 - (1 - J**rows)**(k/rows)
-    (0.988 at 0.6 as set) and are confirmed if signatures agree in ``threshold`` of the coordinates."""
-    texts = as_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    signed = materialise(texts.mapInArrow(_sign(k, shingle), "doc_id long, bag long, sig binary"), "signatures")
-    exact = signed.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    reps = signed.select("doc_id", "sig").join(exact.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """(doc_id, th, copies, group_id, keep) of the distinct rows that have a near copy: th is the hash of the
+    text, copies the rows of that doc_id and text, group_id the doc_id of the row kept."""
+    texts = as_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("th", F.xxhash64("text"))
+    texts = texts.withColumn("node", F.xxhash64("doc_id", "th"))
+    signed = materialise(texts.mapInArrow(_sign(k, shingle), "doc_id long, th long, node long, bag long, sig binary"), "signatures")
+    exact = signed.groupBy("bag").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
+    reps = signed.select(F.col("node").alias("doc_id"), "sig").join(exact.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = materialise(reps, "representatives")
     buckets = reps.mapInArrow(_bands(k, rows), "key long, doc_id long").groupBy("key").agg(F.collect_list("doc_id").alias("ids"))
     shared = buckets.where(F.size("ids") > 1).select("key", F.explode("ids").alias("doc_id"))
     rows_ = shared.join(reps, "doc_id").select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id")
     roots = components(rows_.mapInArrow(_link(k, threshold), "a long, b long"))
-    out = signed.select("doc_id", "bag").join(exact, "bag").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    out = signed.select("doc_id", "th", "bag").join(exact, "bag").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     # a group of several bags also holds its root's own bag, which has no entry in roots
     several = roots.select(F.col("root").alias("rep")).distinct().withColumn("several", F.lit(True))
     out = out.join(several, "rep", "left").where("n > 1 OR root IS NOT NULL OR several")
-    return out.select("doc_id", F.coalesce("root", "rep").alias("group_id")).distinct().withColumn("keep", F.expr("doc_id = group_id"))
+    out = out.groupBy(F.coalesce("root", "rep").alias("top"), "doc_id", "th").agg(F.count("*").alias("copies"))
+    out = materialise(out, "groups")
+    first = out.groupBy("top").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    return out.join(first, "top").select("doc_id", "th", "copies", F.col("first.doc_id").alias("group_id"), (F.struct("doc_id", "th") == F.col("first")).alias("keep"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD
+) -> DataFrame:
+    """(doc_id, group_id, keep) of the documents that have a near copy; group_id is the doc_id kept.
+
+    Pairs of weighted Jaccard similarity J become candidates with probability 1 - (1 - J**rows)**(k/rows)
+    (0.988 at 0.6 as set) and are confirmed if signatures agree in ``threshold`` of the coordinates."""
+    return near_groups(docs, id_col, text_col, k, rows, shingle, threshold).select("doc_id", "group_id", "keep").distinct()
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

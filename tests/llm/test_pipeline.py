@@ -43,3 +43,12 @@ def test_nulls_pass_through(spark):
     for name, stage in cp.STAGES:
         docs = materialise(stage(spark, docs, SF), name)
     assert docs.columns == ["window_id", "seq", "doc_id", "start", "n_tokens"]
+
+
+def test_near_dup_keeps_one_row_of_every_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    near = a.replace("a7 ", "other ")
+    rows = [(1, a), (1, a), (2, a), (7, b), (7, b), (7, b), (8, c), (5, near), (5, c + " tail"), (9, "lone words only"), (None, a), (10, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r.doc_id or 0, r.text or "") for r in cp.drop_near_duplicates(spark, docs, SF).collect())
+    assert left == sorted([(1, a), (7, b), (5, c + " tail"), (9, "lone words only"), (0, a), (10, "")])
