@@ -16,6 +16,19 @@ GRAM = 8
 _INDEX_BITS = 24
 
 
+def owners(v: np.ndarray, span: int, bits: int = _INDEX_BITS) -> np.ndarray:
+    """Index of the first smallest value (of its upper ``64 - bits`` bits) of every window of ``span`` values.
+
+    The index stands in the lower bits, so longer arrays are taken in overlapping pieces."""
+    mask = U((1 << bits) - 1)
+    step, out = (1 << bits) - span, []
+    for s in range(0, len(v) - span + 1, step):
+        part = v[s : s + step + span - 1]
+        comp = (part & ~mask) | np.arange(len(part), dtype=U)
+        out.append((sliding(comp, span, np.minimum) & mask).astype(np.int64) + s)
+    return np.concatenate([*out, np.zeros(0, np.int64)])
+
+
 class Anchors:
     """Anchors of all texts of a chunk, in order: ``doc``, ``pos`` (index of the word in the chunk), ``key``
     (hash of the k-gram), ``low`` (first window start that owns it), ``left`` (hash of the words from
@@ -31,11 +44,7 @@ class Anchors:
             owner = np.zeros(0, np.int64)
             starts = np.zeros(0, np.int64)
         else:
-            index_mask = U((1 << _INDEX_BITS) - 1)
-            if len(v) > int(index_mask):
-                raise ValueError("a chunk holds too many words")
-            comp = (v & ~index_mask) | np.arange(len(v), dtype=U)
-            owner = (sliding(comp, span, np.minimum)[:n] & index_mask).astype(np.int64)
+            owner = owners(v, span)[:n]
             starts = np.flatnonzero(w.doc[:n] == w.doc[least - 1 :])
             owner = owner[starts]
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)

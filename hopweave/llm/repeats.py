@@ -12,8 +12,9 @@ are left out, as no maximal repeat begins there. Anchors that occur together are
 cell, so a repeated stretch of text is shipped about once, not once an anchor.
 
 Words are lower-cased, without ASCII punctuation. Defined results: null and empty texts and rows
-without a doc_id have no repeats; rows repeated with the same doc_id and text count once; texts of
-any length are scanned whole; equal texts of ``least`` words or more are one repeat of their whole length.
+without a doc_id have no repeats; rows repeated with the same doc_id and text count once, and one doc_id may
+stand on several texts; texts of any length are scanned whole; equal texts of ``least`` words or more are
+one repeat of their whole length; suffixes alike to the end stand in any order; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Anchors
-from .shared import as_text, documents, materialise
+from .shared import as_text, documents, fresh, materialise
 from .textnum import U, Words, chunks, mix
 
 LEAST = 50
 #: Words of the suffixes of an anchor up to which they are copied to be sorted.
 COPIED = 1 << 23
-NAMES = ["tree_id", "n_words", "doc_ids", "starts", "first", "last", "depth"]
-SCHEMA = "tree_id long, n_words int, doc_ids array<long>, starts array<int>, first array<int>, last array<int>, depth array<int>"
+NAMES = ["tree_id", "n_words", "nth", "doc_id", "start", "repeats"]
+SCHEMA = "tree_id long, n_words int, nth int, doc_id long, start int, repeats array<struct<last:int,n_words:int>>"
 FLAG = np.dtype([("i", "<i4"), ("div", "?"), ("owner", "<i8")])
 MARK = np.dtype([("key", "<u8"), ("pos", "<i4"), ("low", "<i4"), ("high", "<i4"), ("head", "?")])
 
@@ -296,29 +297,33 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _groups(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+    """Rows of the trees: an occurrence each, with the repeats whose occurrences begin with it."""
 
-        def lists(arrays: tuple, kind) -> pa.Array:
-            offs = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(arrays).astype(kind)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            ids, docs, starts, first, last, words = zip(*rows)
-            cols = [pa.array(ids, pa.int64()), pa.array([int(w[-1]) for w in words], pa.int32()), lists(docs, np.int64), lists(starts, np.int32)]
-            return pa.record_batch([*cols, lists(first, np.int32), lists(last, np.int32), lists(words, np.int32)], names=NAMES)
+            ids, docs, starts, found = zip(*trees)
+            size = np.array([len(x) for x in docs])
+            base = np.r_[0, np.cumsum(size)]
+            every = np.concatenate([np.c_[t[:, 0] + b, t[:, 1:]] for t, b in zip(found, base)])
+            every = every[np.argsort(every[:, 0], kind="stable")]
+            offs = np.searchsorted(every[:, 0], np.arange(base[-1] + 1)).astype(np.int32)
+            inner = pa.StructArray.from_arrays([pa.array(every[:, 1].astype(np.int32)), pa.array(every[:, 2].astype(np.int32))], names=["last", "n_words"])
+            cols = [np.repeat(np.array(ids, np.int64), size), np.repeat(np.array([int(t[-1, 2]) for t in found], np.int32), size), (np.arange(base[-1]) - np.repeat(base[:-1], size)).astype(np.int32), np.concatenate(docs), np.concatenate(starts).astype(np.int32)]
+            return pa.record_batch([*(pa.array(c) for c in cols), pa.ListArray.from_arrays(pa.array(offs), inner)], names=NAMES)
 
         size = 0
         for cell in _cells(batches):
             for key, o, docs, where, found in _cell(cell, least):
                 t = np.array(found, np.int64)
                 seed = key ^ (o * 0x9E3779B97F4A7C15) ^ (int(docs.min()) << 20) ^ int(where[0]) ^ (len(docs) << 44) ^ (int(t[-1, 2]) << 52)
-                rows.append((int(mix(np.array([seed & (2**64 - 1)], U)).view(np.int64)[0]), docs, where, t[:, 0], t[:, 1], t[:, 2]))
+                trees.append((int(mix(np.array([seed & (2**64 - 1)], U)).view(np.int64)[0]), docs, where, t))
                 size += len(docs)
-                if size > 1 << 18:
+                if size > 1 << 16:
                     yield flush()
-                    rows, size = [], 0
-        if rows:
+                    trees, size = [], 0
+        if trees:
             yield flush()
 
     return run
@@ -359,20 +364,23 @@ def cells(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """Every maximal repeat of ``least`` words or more with all its occurrences, a row per tree.
+    """Every maximal repeat of ``least`` words or more with all its occurrences, a row per occurrence of a tree.
 
-    (tree_id, n_words, doc_ids, starts, first, last, depth): all of ``doc_ids`` share ``n_words`` words from
-    word ``starts[i]`` (from 0) on, in suffix order. Repeat j of the tree has ``depth[j]`` words and occurs
-    at the positions ``first[j]`` to ``last[j]`` of the lists. A tree of m occurrences holds up to m - 1
-    nested repeats, so the lists are as long as the occurrences, not as their sum over all repeats;
-    ``occurrences`` writes them out."""
+    (tree_id, n_words, nth, doc_id, start, repeats): all rows of a tree share ``n_words`` words from word
+    ``start`` (from 0) of ``doc_id`` on, ``nth`` numbers them in suffix order. An entry of ``repeats`` is a repeat
+    of its ``n_words`` words that occurs at the rows ``nth`` to ``last`` of the tree. A tree of m occurrences
+    holds up to m - 1 nested repeats, so there are as many rows as occurrences, not as many as their sum
+    over all repeats; ``occurrences`` writes them out."""
     return cells(docs, id_col, text_col, least).mapInArrow(_groups(least), SCHEMA)
 
 
 def occurrences(trees: DataFrame) -> DataFrame:
-    """(tree_id, repeat, n_words, doc_id, start) of every occurrence of every repeat of ``trees``."""
-    each = trees.select("tree_id", "doc_ids", "starts", F.posexplode(F.arrays_zip("first", "last", "depth")).alias("repeat", "r"))
-    return each.select("tree_id", "repeat", F.col("r.depth").alias("n_words"), F.explode(F.expr("slice(arrays_zip(doc_ids, starts), r.first + 1, r.last - r.first + 1)")).alias("o")).select("tree_id", "repeat", "n_words", F.col("o.doc_ids").alias("doc_id"), F.col("o.starts").alias("start"))
+    """(tree_id, first, last, n_words, doc_id, start) of every occurrence of every repeat of ``trees``, which is
+    told by its tree and the ``first`` and ``last`` of its rows."""
+    each = trees.select(F.col("tree_id").alias("t"), F.col("nth").alias("first"), F.explode("repeats").alias("r")).select("t", "first", "r.*")
+    rows = trees.select("tree_id", "nth", "doc_id", "start")
+    met = each.join(rows, (F.col("t") == F.col("tree_id")) & F.col("nth").between(F.col("first"), F.col("last")))
+    return met.select("tree_id", "first", "last", "n_words", "doc_id", "start")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,11 +413,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = as_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     texts = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").join(spans.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     changed = materialise(texts.mapInArrow(_remove, "doc_id long, th long, text string"), "cut")
-    changed = changed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("text").alias("__text"))
+    own, th, new = fresh(docs, "__id", "__th", "__text")
+    changed = changed.toDF(own, th, new)
     c, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    joined = docs.join(changed.hint("shuffle_hash"), (c.cast("long") == F.col("__id")) & (F.xxhash64(t.cast("string")) == F.col("__th")), "left")
-    kept = joined.where("__text IS NULL OR length(trim(__text)) > 0")
-    return kept.select(*[F.coalesce("__text", t).alias(text_col) if x == text_col else F.col(f"`{x}`") for x in docs.columns])
+    joined = docs.join(changed.hint("shuffle_hash"), (c.cast("long") == F.col(own)) & (F.xxhash64(t.cast("string")) == F.col(th)), "left")
+    kept = joined.where(F.col(new).isNull() | (F.length(F.trim(new)) > 0))
+    return kept.select(*[F.coalesce(new, t.cast("string")).alias(text_col) if x == text_col else F.col(f"`{x}`") for x in docs.columns])
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of ``BATCH_ROWS`` unless the session has its own setting."""
+    """Set the session to hand rows to Python in batches of ``BATCH_ROWS`` unless it has its own setting. Only
+    the registered queries and the stages of the pipeline do so, never the operators."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
@@ -55,9 +56,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, text as string; extra columns never clash."""
-    small_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
         *[F.col(f"`{m}`") for m in more],
     )
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns that ``df`` doesn't have, in either case of letters."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out

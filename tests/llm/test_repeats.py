@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from hopweave.llm import repeats
+from hopweave.llm.anchors import owners
 from hopweave.llm.repeats import _sorted, maximal_repeats, occurrences, without_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,9 +37,9 @@ def brute(texts: dict[int, list[str]], least: int) -> set:
 def got(trees) -> set:
     groups = {}
     for r in occurrences(trees).collect():
-        groups.setdefault((r.tree_id, r.repeat, r.n_words), []).append((r.doc_id, r.start))
-    assert all(len(v) > 1 for v in groups.values())
-    return {(k[2], tuple(sorted(v))) for k, v in groups.items()}
+        groups.setdefault((r.tree_id, r.first, r.last, r.n_words), []).append((r.doc_id, r.start))
+    assert all(len(v) == k[2] - k[1] + 1 > 1 for k, v in groups.items())
+    return {(k[3], tuple(sorted(v))) for k, v in groups.items()}
 
 
 def corpus(seed: int) -> dict[int, list[str]]:
@@ -67,7 +68,7 @@ def test_same_as_brute_force(spark, seed):
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(3000))
     rows = [(1, None, None, None, None), (2, "", "x", "s", 0), (None, long, None, None, None), (3, "short", None, None, 5), (4, "a " * 500, None, None, 1000), (5, long, None, "s", 9), (6, long, None, "s", 9), (6, long, None, "s", 9)]
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", start string")
+    docs = spark.createDataFrame([(*r, "clash", "a", "b", "c") for r in rows], SCHEMA + ", start string, __text string, __ID string, __th string")
     trees = maximal_repeats(docs)
     assert (3000, ((5, 0), (6, 0))) in got(trees)
     assert all({d for d, _ in occ} <= {4, 5, 6} for _, occ in got(trees))
@@ -116,5 +117,20 @@ def test_long_suffixes_are_sorted_as_short_ones(monkeypatch):
 def test_one_word_very_often(spark):
     docs = spark.createDataFrame([(1, "a " * 30000, None, None, 0)], SCHEMA)
     tree = maximal_repeats(docs).collect()
-    assert [(r.n_words, len(r.doc_ids), len(r.depth)) for r in tree] == [(50, 29951, 29950)]
+    assert len(tree) == 29951 and {r.n_words for r in tree} == {50} and sum(len(r.repeats) for r in tree) == 29950
+    assert {r.start for r in tree} == set(range(29951)) and {r.nth for r in tree} == set(range(29951))
     assert [r.text.strip() for r in without_repeats(docs).collect()] == ["a"]
+
+
+def test_long_arrays_are_cut_into_overlapping_pieces():
+    v = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    v[100:140] = v[99]
+    assert (owners(v, 43, 7) == owners(v & ~np.uint64(127), 43)).all() and len(owners(v, 43, 7)) == 5000 - 42
+    assert len(owners(v[:42], 43)) == 0
+
+
+def test_one_id_on_two_texts(spark):
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    docs = spark.createDataFrame([(1, p, "en", "a", 1), (1, f"{q} x", "en", "a", 1), (2, f"{p} y", "en", "a", 1), (3, q, "en", "a", 1)], SCHEMA)
+    assert got(maximal_repeats(docs)) == {(60, ((1, 0), (2, 0))), (60, ((1, 0), (3, 0)))}
+    assert sorted((r.doc_id, r.text) for r in without_repeats(docs).collect()) == [(1, p), (1, f"{q} x"), (2, "y")]
