@@ -3,19 +3,21 @@
 Documents are scored by BM25 over the distinct words of a query, with document frequencies and mean
 length of the whole corpus. A segment of the index holds the documents of a task's share whose impact
 for a word, quantised to ``LEVELS`` steps, is the same; for a query the segments of its words are
-processed by descending impact. Every document keeps what its segments have given and how many
-words it has met, which bounds its score from both sides: words not met yet can give no more than the
-level now reached, or their own highest impact. The search of a share stops only when this proves that
-no more than a few documents can be among its best ``k``; those are scored again exactly, in double
-precision, and the best of all shares are merged. Nothing is approximate: results are those of scoring
-every document with every query.
+read by descending impact, whichever words they belong to. Every document keeps what its segments have
+given and how many words it has met, which bounds its score from both sides: words not met yet can give no
+more than the level now reached, or their own highest impact. The search of a share stops as soon as this
+proves that all but a few documents can't be among its best ``k``: when scoring these few exactly, by
+looking each of them up in the words' postings, costs less than reading on. The segments left are not read.
+The candidates are scored in double precision, and the best of all shares are merged. Nothing is
+approximate: results are those of scoring every document with every query.
 
-Every row of the query table is a query. Words of the queries are broadcast in blocks of at most
-``QUERY_BYTES``, as many as the table needs; a share of the index is scanned once a block.
+Every id of the query table is a query. Words of the queries are broadcast in blocks of at most
+``QUERY_BYTES``, as many as the table needs; an index of a block's words is made once a block.
 
 Defined results: words are lower-cased, split at white space and ASCII punctuation; null or empty
 queries and texts, and rows without id, have no results; equal scores (to nine digits) rank by
-doc_id; repeated query rows have the results of one; repeated documents are found each.
+doc_id; query rows of one id are one query of all their words; repeated documents are found each, as are
+several texts of one doc_id; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .shared import as_text, documents, materialise
 from .textnum import U, Words, chunks
 
 K, K1, B, LEVELS, QUERY_BYTES, SHARE = 10, 1.2, 0.75, 256, 8 << 20, 1 << 21
+#: What a document's lookup for a word costs, in postings read; a word met counts as this much of a level.
+LOOKUP, MET = 8, 2.0**-24
 
 
 class Queries:
@@ -39,11 +43,11 @@ class Queries:
     def __init__(self, ids: list[int], texts: list[str]):
         w = Words(pa.array(texts, pa.large_string()), strip_punct=True, lower=True)
         self.terms, inv = np.unique(w.hash, return_inverse=True)
-        self.ids, self.of = [], []
+        of: dict[int, list[np.ndarray]] = {}
         for i, (a, b) in zip(ids, zip(w.first[:-1], w.first[1:])):
             if b > a:
-                self.ids.append(i)
-                self.of.append(np.unique(inv[a:b]))
+                of.setdefault(i, []).append(inv[a:b])
+        self.ids, self.of = list(of), [np.unique(np.concatenate(x)) for x in of.values()]
 
 
 def _postings(shared):
@@ -99,46 +103,66 @@ class Share:
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.step = float(idf.max(initial=0.0)) * (K1 + 1) / LEVELS
         level = np.minimum((impact / self.step).astype(np.int64), LEVELS - 1) if self.step else np.zeros(len(impact), np.int64)
-        order = np.lexsort((doc, -level, term))
-        self.doc, self.level, self.impact = doc[order], level[order], impact[order]
-        self.head = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        key = term << 32 | doc  # for looking documents up
+        order = np.argsort(key, kind="stable")
+        self.key, self.impact = key[order], impact[order]
+        kind = term * LEVELS + (LEVELS - 1 - level)
+        order = np.argsort(kind << 32 | doc)
+        kind, self.doc = kind[order], doc[order].astype(np.int32)
+        first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
+        self.start, self.end = first, np.r_[first[1:], len(kind)]
+        self.level = LEVELS - 1 - kind[first] % LEVELS
+        self.head = np.searchsorted(kind[first] // LEVELS, np.arange(len(idf) + 1))
+        #: Postings that searches have read, and those of their words.
+        self.read = self.held = 0
 
     def search(self, terms: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and exact scores of all that can be among the best ``k`` and above ``floor``."""
-        lists = [(int(self.head[t]), int(self.head[t + 1])) for t in terms if self.head[t + 1] > self.head[t]]
-        if not lists:
-            return np.zeros(0, np.int64), np.zeros(0)
-        docs = np.concatenate([self.doc[a:b] for a, b in lists])
-        level = np.concatenate([self.level[a:b] for a, b in lists])
-        tops = np.array([self.level[a] for a, _ in lists])
-        order = np.argsort(-level, kind="stable")
-        docs, level = docs[order], level[order]
-        cut = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True])
-        low, met = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        step, found = self.step, None
-        for j, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
-            d = docs[s:e]
-            low += np.bincount(d, minlength=len(low)) * (step * level[s])
-            met += np.bincount(d, minlength=len(met))
-            if j % 4 != 3 and e < len(docs):
-                continue
+        terms = terms[self.head[terms + 1] > self.head[terms]]
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(terms):
+            return none
+        seg = np.concatenate([np.arange(a, b) for a, b in zip(self.head[terms], self.head[terms + 1])])
+        seg = seg[np.argsort(-self.level[seg], kind="stable")]
+        level, tops = self.level[seg], np.sort(self.level[self.head[terms]])
+        read = np.cumsum(self.end[seg] - self.start[seg])
+        total = int(read[-1])
+        self.held += total
+        last = np.flatnonzero(np.r_[level[1:] != level[:-1], True])  # last segment of every level
+        sums = np.zeros(len(self.ids))
+        at, done, found, step = 0, 0, none[0], self.step
+        while at < len(seg):
+            # read on by a third, up to the end of a level; then look whether the proof holds
+            to = int(last[min(np.searchsorted(read[last], max(2048, done * 4 // 3)), len(last) - 1)]) + 1
+            to = max(to, int(last[np.searchsorted(last, at)]) + 1)
+            part = seg[at:to]
+            size = self.end[part] - self.start[part]
+            docs = np.concatenate([self.doc[s:e] for s, e in zip(self.start[part].tolist(), self.end[part].tolist())])
+            sums += np.bincount(docs, np.repeat(level[at:to] + MET, size), minlength=len(sums))
+            at, done = to, int(read[to - 1])
             # a word not met gives less than the level above the next segment, and than its own top
-            nxt = level[e] + 1 if e < len(docs) else 0
-            rest = np.minimum(tops + 1, nxt).sum() * step
-            high = low + met * step + np.maximum(0.0, rest - met * nxt * step)
-            best = np.partition(low, -k)[-k] if len(low) > k else 0.0
-            found = np.flatnonzero((high >= max(best, floor) - 1e-6) & (high > 0))
-            if len(found) <= 4 * k:
+            nxt = int(level[at]) + 1 if at < len(seg) else 0
+            below = int(np.searchsorted(tops, nxt - 1))
+            rest = float((tops[:below] + 1).sum() + nxt * (len(tops) - below)) if nxt else 0.0
+            if at < len(seg) and len(sums) <= k and floor <= 0:
+                continue
+            low = np.floor(sums)
+            best = np.partition(low, -k)[-k] * step if len(low) > k else 0.0
+            need = max(best, floor) - 1e-6
+            if at < len(seg) and rest * step >= need:
+                continue  # documents not met at all could still be among the best
+            met = (sums - low) / MET
+            found = np.flatnonzero(((low + met + np.maximum(0.0, rest - met * nxt)) * step >= need) & (sums > 0))
+            if len(found) * len(terms) * LOOKUP <= total - done:
                 break
-        score = np.zeros(len(self.ids))
-        mine = np.zeros(len(self.ids), bool)
-        mine[found] = True
-        for a, b in lists:  # each word in the order of its hash, as the sum has to be the same everywhere
-            d = self.doc[a:b]
-            x = mine[d]
-            score[d[x]] += self.impact[a:b][x]
-        found = found[score[found] > 0]
-        return found, score[found]
+        self.read += done
+        # each word in the order of its hash, as the sum has to be the same everywhere
+        score = np.zeros(len(found))
+        for t in terms.tolist() if len(found) else ():
+            want = (t << 32) | found
+            i = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            score += np.where(self.key[i] == want, self.impact[i], 0.0)
+        return found[score > 0], score[score > 0]
 
 
 def _search(shared, idf_shared, mean: float, k: int):
@@ -188,7 +212,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id
     texts = as_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
     out = None
     for n in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
         rows = part.orderBy("item_id", "text").collect()  # about query_bytes of text
         q = spark.sparkContext.broadcast(Queries([r.item_id for r in rows], [r.text for r in rows]))
         index = materialise(texts.mapInArrow(_postings(q), POSTINGS), "postings")

@@ -61,12 +61,34 @@ def test_stops_on_proof_only():
     part = (np.arange(n), size.astype(np.int32), term.astype(np.uint32), doc.astype(np.uint32), tf.astype(np.uint32))
     s = Share([tuple(x.tobytes() for x in part)], idf, 200.0)
     full = np.zeros(n)
-    np.add.at(full, s.doc, s.impact)
+    for i in range(len(s.key)):
+        full[s.key[i] & 0xFFFFFFFF] += s.impact[i]
     for floor in (0.0, np.sort(full)[-4]):
+        s.read = s.held = 0
         found, score = s.search(np.arange(t), 10, floor)
         assert np.allclose(score, full[found]) and len(found) < n / 10
         best = set(np.argsort(-full)[:10].tolist())
         assert {d for d in best if full[d] >= floor} <= set(found.tolist())
+        assert s.held == len(doc) and s.read < 0.7 * s.held  # the segments of the frequent words are left unread
+
+
+def test_segments_left_unread_in_a_corpus():
+    """Words as frequent as in a language: most postings belong to words that can't decide."""
+    r = np.random.default_rng(1)
+    n, t = 3000, 40
+    p = 0.9 / (1 + np.arange(t)) ** 0.8
+    hit = r.random((t, n)) < p[:, None]
+    hit[:, :12] = True  # copies of the query
+    term, doc = np.nonzero(hit)
+    tf, size = 1 + r.poisson(0.3, len(doc)), r.integers(30, 300, n)
+    df = hit.sum(axis=1)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    s = Share([tuple(x.tobytes() for x in (np.arange(n), size.astype(np.int32), term.astype(np.uint32), doc.astype(np.uint32), tf.astype(np.uint32)))], idf, 165.0)
+    full = np.zeros(n)
+    np.add.at(full, s.key & 0xFFFFFFFF, s.impact)
+    found, score = s.search(np.arange(t), 10, 0.0)
+    assert set(np.argsort(-full)[:10].tolist()) <= set(found.tolist()) and np.allclose(score, full[found])
+    assert s.read < s.held
 
 
 def test_odd_rows(spark):
@@ -76,3 +98,12 @@ def test_odd_rows(spark):
     out = top_k(docs, q).collect()
     assert sorted((r["rank"], r.doc_id) for r in out) == [(1, 4), (2, 4), (3, 3)] and {r.item_id for r in out} == {1}
     assert top_k(docs.limit(0), q).count() == 0 and top_k(docs, q.limit(0)).count() == 0
+
+
+def test_one_query_id_on_several_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "b c d"), (2, "a"), (3, "e")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "a b"), (7, "c b"), (8, "a b c")], "item_id long, text string")
+    by = {}
+    for r in top_k(docs, q).collect():
+        by.setdefault(r.item_id, []).append((r["rank"], r.doc_id, r.score))
+    assert len(by[7]) == 3 and sorted(by[7]) == sorted(by[8])
