@@ -6,12 +6,12 @@ entry holds for the path and what lies below it on exactly that host. Of all ent
 URL the longest key decides; a block entry wins over an allow entry of the same key, and URLs without
 an entry get the default.
 
-The trie is broadcast while the list has at most ``BROADCAST_ENTRIES`` entries; beyond that every URL is
-joined with the list by its prefix keys, which gives the same rows.
+The trie is broadcast while the entries take at most ``BROADCAST_BYTES``, which is counted first; beyond
+that every distinct URL is joined with the list by its prefix keys, which gives the same rows.
 
 Hosts are lower-cased, without user, port and trailing dot; paths are compared as written, without
 empty segments, query and fragment. Defined results: null, empty and hostless URLs are not allowed and
-have neither host nor entry; repeated rows and other columns stay as they are; an empty list leaves
+have neither host nor entry; repeated rows and other columns, whatever their names, stay as they are; an empty list leaves
 the default; entries that are null or without a host are ignored.
 """
 
@@ -23,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ENTRIES = 200_000
+from .shared import fresh
+
+#: Of text and 64 a entry; a trie takes some times as much.
+BROADCAST_BYTES = 16 << 20
 #: (action, entry); the list a crawl of the example domains runs with.
 ENTRIES = (
     ("block", "spam-farm.example.org"),
@@ -97,7 +100,7 @@ def longest(trie: dict, labels: list[str], segments: list[str]) -> tuple[bool, s
     return best
 
 
-def _walk(docs: DataFrame, entries, default: bool, url):
+def _walk(docs: DataFrame, entries, default: bool, url, name: str):
     trie = docs.sparkSession.sparkContext.broadcast(build(entries))
 
     @F.arrow_udf("host string, allowed boolean, entry string")
@@ -111,10 +114,10 @@ def _walk(docs: DataFrame, entries, default: bool, url):
             hit.append(best[1] if best else None)
         return pa.StructArray.from_arrays([pa.array(host, pa.string()), pa.array(ok, pa.bool_()), pa.array(hit, pa.string())], names=["host", "allowed", "entry"])
 
-    return docs.withColumn("__f", run(url))
+    return docs.withColumn(name, run(url))
 
 
-def _join(docs: DataFrame, entries: DataFrame, default: bool, url):
+def _join(docs: DataFrame, entries: DataFrame, default: bool, url, name: str):
     """The same by a join on prefix keys."""
 
     @F.arrow_udf("string")
@@ -136,31 +139,35 @@ def _join(docs: DataFrame, entries: DataFrame, default: bool, url):
             keys.append([key(p[0][:i], []) for i in range(1, min(len(p[0]), most_labels) + 1)] + [key(p[0], p[1][:j]) for j in range(1, min(len(p[1]), most_segments) + 1)] if p else [])
         return pa.StructArray.from_arrays([pa.array(host, pa.string()), pa.array(keys, pa.list_(pa.string()))], names=["host", "keys"])
 
-    urls = docs.select(url.alias("__u")).distinct().withColumn("__p", prefixes(F.col("__u")))
-    each = urls.select("__u", F.posexplode("__p.keys").alias("depth", "k")).join(listed, "k")
-    best = each.groupBy("__u").agg(F.max_by("e", "depth").alias("__e"))
-    found = urls.join(best, "__u", "left").select(
-        F.col("__u"),
-        F.struct(F.col("__p.host").alias("host"), F.coalesce(F.col("__e.allowed"), F.col("__p.host").isNotNull() & F.lit(default)).alias("allowed"), F.col("__e.entry").alias("entry")).alias("__f"),
+    urls = docs.select(url.alias("u")).distinct().withColumn("p", prefixes(F.col("u")))
+    each = urls.select("u", F.posexplode("p.keys").alias("depth", "k")).join(listed, "k")
+    best = each.groupBy("u").agg(F.max_by("e", "depth").alias("e"))
+    own = fresh(docs, "u", name)[0]
+    found = urls.join(best, "u", "left").select(
+        F.col("u").alias(own),
+        F.struct(F.col("p.host").alias("host"), F.coalesce(F.col("e.allowed"), F.col("p.host").isNotNull() & F.lit(default)).alias("allowed"), F.col("e.entry").alias("entry")).alias(name),
     )
-    return docs.join(found, url.eqNullSafe(F.col("__u")), "left").drop("__u")
+    return docs.join(found, url.eqNullSafe(F.col(own)), "left").drop(own)
 
 
-def filter_urls(pages: DataFrame, entries=ENTRIES, default: bool = True, url_col: str = "url", most: int = BROADCAST_ENTRIES) -> DataFrame:
+def filter_urls(pages: DataFrame, entries=ENTRIES, default: bool = True, url_col: str = "url", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with a struct column ``url_filter`` (host, allowed, entry). ``entries``: pairs (action,
     entry), or a DataFrame of these two columns. A column of that name is replaced."""
     url = F.col(f"`{url_col}`").cast("string")
+    name = fresh(pages, "hit")[0]
     if isinstance(entries, DataFrame):
         entries = entries.select("action", "entry")
-        if entries.limit(most + 1).count() > most:
-            out = _join(pages, entries, default, url)
+        size = entries.agg(F.sum(F.coalesce(F.octet_length("entry"), F.lit(0)) + 64)).first()[0] or 0
+        if size > most_bytes:
+            out = _join(pages, entries, default, url, name)
         else:
-            out = _walk(pages, [tuple(r) for r in entries.collect()], default, url)
-    elif len(entries) > most:
-        out = _join(pages, pages.sparkSession.createDataFrame(list(entries), "action string, entry string"), default, url)
+            out = _walk(pages, [tuple(r) for r in entries.collect()], default, url, name)
+    elif sum(len(e or "") + 64 for _, e in entries) > most_bytes:
+        out = _join(pages, pages.sparkSession.createDataFrame(list(entries), "action string, entry string"), default, url, name)
     else:
-        out = _walk(pages, entries, default, url)
-    return out.drop("url_filter").withColumnRenamed("__f", "url_filter")
+        out = _walk(pages, entries, default, url, name)
+    kept = [c for c in pages.columns if c.lower() != "url_filter"]
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(name).alias("url_filter"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

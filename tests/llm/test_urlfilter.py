@@ -35,21 +35,21 @@ def test_trie_and_join_give_what_trying_every_entry_gives(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     want = {(i, u): plain(u, entries) for i, u in enumerate(urls)}
     assert rows(filter_urls(pages, entries)) == want
-    assert rows(filter_urls(pages, entries, most=0)) == want
+    assert rows(filter_urls(pages, entries, most_bytes=0)) == want
     table = spark.createDataFrame(entries, "action string, entry string")
     assert rows(filter_urls(pages, table, default=False)) == {(i, u): plain(u, entries, False) for i, u in enumerate(urls)}
 
 
 def test_odd_rows(spark):
     rs = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://User:pw@WWW.Ex.COM.:80//a///b?x#y"), (5, "HTTP://User:pw@WWW.Ex.COM.:80//a///b?x#y"), (6, "http://ex.com/" + "a/" * 30000)]
-    pages = spark.createDataFrame([(*r, "k", "h", 1) for r in rs], "page_id long, url string, keys string, host string, url_filter int")
+    pages = spark.createDataFrame([(*r, "k", "h", 1, 2, 3) for r in rs], "page_id long, url string, keys string, host string, url_filter int, hit int, U int")
     entries = [("block", "ex.com"), ("allow", "www.ex.com/a"), (None, "x"), ("block", None), ("block", ""), ("other", "ex.com")]
-    for most in (100, 0):
-        out = filter_urls(pages, entries, most=most)
-        assert out.columns == ["page_id", "url", "keys", "host", "url_filter"]
+    for most in (100_000, 0):
+        out = filter_urls(pages, entries, most_bytes=most)
+        assert out.columns == ["page_id", "url", "keys", "host", "hit", "U", "url_filter"]
         got = rows(out)
-        assert out.count() == 7
+        assert {(r.keys, r.host, r.hit, r.U) for r in out.collect()} == {("k", "h", 2, 3)} and out.count() == 7
         assert got[5, rs[4][1]] == ("www.ex.com", True, "www.ex.com/a") and got[6, rs[6][1]] == ("ex.com", False, "ex.com")
         assert {got[i, u] for i, u in rs[:4]} == {(None, False, None)}
-        assert rows(filter_urls(pages, [], most=most))[6, rs[6][1]] == ("ex.com", True, None)
-        assert filter_urls(pages.limit(0), entries, most=most).count() == 0
+        assert rows(filter_urls(pages, [], most_bytes=most))[6, rs[6][1]] == ("ex.com", True, None)
+        assert filter_urls(pages.limit(0), entries, most_bytes=most).count() == 0
