@@ -18,7 +18,9 @@ sources; the total stays as it is. A target for a source without tokens is ignor
 scaled up to one; a source without a target gets no copies.
 
 Defined results: null and empty texts have no tokens, rate 1 and one copy if their source has a target;
-null source or language is a value of its own; repeated rows are rounded alike; an empty table stays so.
+null source or language is a value of its own; repeated rows are rounded alike; an empty table stays so;
+texts of any length count whole; added columns get other names where the table has theirs. The dual has
+a variable a source and language: it is meant for up to some thousand of them, not for web domains.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialise
+from .shared import documents, fresh, materialise
 from .textnum import chunks, word_counts
 
 TEMPER, STEPS, TOLERANCE = 0.7, 50, 1e-9
@@ -118,6 +120,7 @@ def balance(cells: DataFrame, targets: dict | None = None, temper: float = TEMPE
     tongue = np.array([sum(r.y for r in inside if r.lang == x) for x in langs])
     target = np.r_[want, tongue, sum(r.z for r in inside)]
     s, k = len(sources), len(sources) + len(langs) + 1
+    place, tongue_at = ({x: i for i, x in enumerate(names)} for names in (sources, langs))
     rows = cells.withColumn("z", score(F.col("t"))).withColumn("y", (F.col("t") * F.col("n")).cast("double"))
 
     def moments(tilt: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def balance(cells: DataFrame, targets: dict | None = None, temper: float = TEMPE
         got = w.groupBy("source", "lang").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("z")).alias("wz"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("wzz")).collect()
         mass, grad, hess = 0.0, np.zeros(k), np.zeros((k, k))
         for r in got:
-            i, j, e = sources.index(r.source), s + langs.index(r.lang), k - 1
+            i, j, e = place[r.source], s + tongue_at[r.lang], k - 1
             mass += r.w
             grad[[i, j]] += r.w
             grad[e] += r.wz
@@ -142,22 +145,30 @@ def balance(cells: DataFrame, targets: dict | None = None, temper: float = TEMPE
 
 
 def rates(docs: DataFrame, targets: dict | None = None, temper: float = TEMPER, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with the columns __t (tokens), __rate and __copies."""
+    """``docs`` with the columns named by ``added``: tokens, rate and copies."""
     c = lambda x: F.col(f"`{x}`").cast("string")
     small = docs.select(c(text_col).alias("text"), c(source_col).alias("source"), c(lang_col).alias("lang"))
     cells = materialise(small.mapInArrow(_lengths, "t long, source string, lang string").groupBy("source", "lang", "t").agg(F.count("*").alias("n")), "lengths")
     b = balance(cells, targets, temper)
-    t = F.col("__t")
-    rate = F.lit(1.0) if b is None else b.rate(c(source_col), c(lang_col), t)
+    n, rate, copies = added(docs)
     unit = F.pmod(F.xxhash64(F.lit("copies"), F.col(f"`{id_col}`"), c(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return docs.withColumn("__t", tokens(F.coalesce(c(text_col), F.lit("")))).withColumn("__rate", rate).withColumn("__copies", (F.floor("__rate") + (unit < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int"))
+    out = docs.withColumn(n, tokens(F.coalesce(c(text_col), F.lit(""))))
+    out = out.withColumn(rate, F.lit(1.0) if b is None else b.rate(c(source_col), c(lang_col), F.col(n)))
+    return out.withColumn(copies, (F.floor(rate) + (unit < F.col(rate) - F.floor(rate)).cast("int")).cast("int"))
+
+
+def added(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``rates`` adds: n_tokens, rate and copies, longer where ``docs`` has them."""
+    return fresh(docs, "n_tokens", "rate", "copies")
 
 
 def mixed(docs: DataFrame, targets: dict | None = None, temper: float = TEMPER, **cols: str) -> DataFrame:
     """Rows of ``docs``, each as often as it has copies."""
-    many = rates(docs, targets, temper, **cols).where("__copies > 0").withColumn("__nth", F.explode(F.expr("sequence(1, __copies)")))
+    many = rates(docs, targets, temper, **cols)
+    copies, nth = added(docs)[2], fresh(many, "nth")[0]
+    many = many.where(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return many.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(documents(spark, sf_dir)).select("doc_id", "source", F.col("__t").alias("n_tokens"), F.round("__rate", 9).alias("rate"), F.col("__copies").alias("copies"))
+    return rates(documents(spark, sf_dir)).select("doc_id", "source", "n_tokens", F.round("rate", 9).alias("rate"), "copies")

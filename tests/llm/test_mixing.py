@@ -35,7 +35,7 @@ def test_same_as_brute_force(spark):
     rows = [(1 + 37 * i % 900, "abc"[i % 3], "xy"[(i * i) % 5 % 2]) for i in range(40)]
     docs = spark.createDataFrame([(i, "w " * t, y, s, 0) for i, (t, s, y) in enumerate(rows)], SCHEMA)
     targets = {"a": 1.0, "b": 1.0, "c": 2.0, "absent": 3.0}
-    got = {r.doc_id: r["__rate"] for r in rates(docs, targets).collect()}
+    got = {r.doc_id: r.rate for r in rates(docs, targets).collect()}
     total = sum(r[0] for r in rows)
     tongue = {y: sum(r[0] for r in rows if r[2] == y) for y in "xy"}
     length = sum(r[0] * math.tanh((math.log2(r[0]) - 8) / 4) for r in rows)
@@ -56,9 +56,11 @@ def test_constraints_hold_and_copies_follow(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "x", "s", 0), (None, "a b", None, None, 3), (3, "a " * 9999, "x", "s", 1), (4, "k", "x", "gone", 1), (4, "k", "x", "gone", 1)]
-    docs = spark.createDataFrame([(*r, 7, "c") for r in rows], SCHEMA + ", t int, w string")
+    docs = spark.createDataFrame([(*r, 7, "c", 0.5) for r in rows], SCHEMA + ", n_tokens int, COPIES string, nth double")
     out = rates(docs, {"s": 1.0}).collect()
-    by = {(r.doc_id, r.text): (r["__rate"], r["__copies"]) for r in out}
+    by = {(r.doc_id, r.text): (r.rate, r["copies_"]) for r in out}
+    assert {(r["n_tokens"], r["COPIES"], r["nth"]) for r in out} == {(7, "c", 0.5)} and {r["n_tokens_"] for r in out} == {0, 1, 2, 9999}
+    assert {(r["n_tokens"], r["COPIES"], r["nth"]) for r in mixed(docs).collect()} == {(7, "c", 0.5)}
     assert len(out) == 6 and by[4, "k"] == (0.0, 0) and by[2, ""] == (1.0, 1) and by[1, None] == (0.0, 0)
     assert by[3, rows[3][1]][0] == pytest.approx(1.0)
     assert mixed(docs).columns == docs.columns
