@@ -1,6 +1,7 @@
 """Content-addressed store of token ids.
 
-Texts are encoded with a public byte-level vocabulary. A rolling hash over ``SPAN`` ids cuts each
+Texts are encoded with a public byte-level vocabulary, whose file has to lie under the same path on the
+driver and every executor. A rolling hash over ``SPAN`` ids cuts each
 id stream where the hash is low, between ``SHORTEST`` and ``LONGEST`` ids after the last cut, so equal
 passages give equal chunks wherever they begin. Every distinct chunk is stored once under the digest
 of its ids; a document is a recipe, its list of digests, under a Merkle root, and the manifest gives
@@ -10,7 +11,8 @@ every document its root. Chunks are stored as little-endian 16-bit ids (32-bit f
 have that digest, and the recipe has its root. ``rebuild`` gives the ids back in order.
 
 Defined results: null and empty texts and null doc_ids have an empty recipe and the root of no leaf;
-repeated rows have a manifest row each; texts of any length are encoded whole.
+repeated rows have a manifest row each, as have several texts of one doc_id; texts of any length are
+encoded whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -140,9 +142,10 @@ SCHEMA = "doc_id long, n_ids long, recipe binary, digest binary, data binary"
 
 class Store:
     """A written store: ``chunks`` (digest, data) and ``manifest`` (doc_id, n_ids, recipe, digest). Both
-    are in one table, as one pass writes them; rows of chunks have -1 ids."""
+    are in one table, as one pass writes them; rows of chunks have -1 ids. ``width``: bytes of an id."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, width: int = 2):
+        self.width = width
         both = spark.read.schema(SCHEMA).parquet(path)
         self.chunks = both.where("n_ids < 0").select("digest", "data")
         self.manifest = both.where("n_ids >= 0").select("doc_id", "n_ids", "recipe", "digest")
@@ -152,7 +155,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Encode and store all texts under ``path``."""
     encoded = as_text(docs, id_col, text_col).mapInArrow(_encode(vocabulary), SCHEMA)
     encoded.repartition("digest").mapInArrow(_once, SCHEMA).write.option("compression", "zstd").parquet(path)
-    return Store(docs.sparkSession, path)
+    return Store(docs.sparkSession, path, encoder(vocabulary).kind.itemsize)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +176,8 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([c.column("row").take(at), pa.array([x for p in parts for x in p], pa.binary()), pa.array(np.repeat(rooted, size).astype(bool))], names=["row", "digest", "rooted"])
 
 
-def verify(store: Store, width: int = 2) -> DataFrame:
-    """(doc_id, n_ids, n_chunks, root, verified) of every manifest row; ``width`` bytes an id."""
+def verify(store: Store) -> DataFrame:
+    """(doc_id, n_ids, n_chunks, root, verified) of every manifest row."""
     sound = store.chunks.mapInArrow(_check, "digest binary, sound boolean, n_bytes long").groupBy("digest").agg(F.count("*").alias("stored"), F.min("sound").alias("sound"), F.max("n_bytes").alias("n_bytes"))
     m = store.manifest.withColumn("row", F.xxhash64("doc_id", "digest"))
     leaves = m.select("row", "digest", "recipe").mapInArrow(_leaves, "row long, digest binary, rooted boolean")
@@ -184,7 +187,7 @@ def verify(store: Store, width: int = 2) -> DataFrame:
         F.count("*").alias("met"),  # n_chunks times the number of equal rows
     )
     n_chunks = (F.length("recipe") / DIGEST).cast("int")
-    good = F.when(n_chunks == 0, F.col("n_ids") == 0).otherwise(F.coalesce(F.col("all_sound") & (F.col("n_bytes") * n_chunks == F.col("n_ids") * width * F.col("met")), F.lit(False)))
+    good = F.when(n_chunks == 0, F.col("n_ids") == 0).otherwise(F.coalesce(F.col("all_sound") & (F.col("n_bytes") * n_chunks == F.col("n_ids") * store.width * F.col("met")), F.lit(False)))
     return m.join(met, "row", "left").select("doc_id", "n_ids", n_chunks.alias("n_chunks"), F.lower(F.hex("digest")).alias("root"), good.alias("verified"))
 
 
@@ -195,7 +198,7 @@ def rebuild(store: Store) -> DataFrame:
     leaves = m.where("length(recipe) > 0").select("doc_id", "root", "recipe", F.explode(step).alias("k")).select("doc_id", "root", "k", F.expr(f"substring(recipe, k * {DIGEST} + 1, {DIGEST})").alias("digest"))
     whole = leaves.join(store.chunks, "digest").groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("parts"))
     joined = m.select("doc_id", "root").join(whole.select(F.col("doc_id").alias("d"), F.col("root").alias("r"), "parts"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("root") == F.col("r")), "left")
-    return joined.select("doc_id", "root", F.expr("coalesce(aggregate(parts, X'', (acc, p) -> acc || p.data), X'')").alias("ids"))
+    return joined.select("doc_id", "root", F.coalesce(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), "")), F.lit(b"")).alias("ids"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
