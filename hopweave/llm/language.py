@@ -12,7 +12,8 @@ the length, and ``SLACK`` of that. Document frequencies and their count cover al
 about ``FIT_ROWS`` labelled documents per language, drawn by a hash of doc_id.
 
 Defined results: null, empty and letterless texts are rejected with cosine 0; rows keep their order of
-columns and their number; ties between languages go to the first in alphabetical order.
+columns and their number, repeated rows included; texts of any length count whole; ties between languages
+go to the first in alphabetical order; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     got = materialise(sample.mapInArrow(features, "lang string, doc_id long, slots binary, n binary, short_slots binary, short_n binary"), "language")
     # one language at a time: about fit_rows sparse rows on the driver
-    each = ((lang, got.where(F.col("lang") == lang).select("doc_id", *SPARSE).orderBy("doc_id").toArrow()) for lang in sorted(sizes))
+    each = ((lang, got.where(F.col("lang") == lang).select("doc_id", *SPARSE).orderBy("doc_id", *SPARSE).toArrow()) for lang in sorted(sizes))
     return train(each, idf, centroids)
 
 

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from hopweave.llm.language import counts, fit, identify, op10_language_id
+from hopweave.llm.language import counts, fit, identify, op10_language_id, spherical
 from tests.conftest import SF
 
 SF01 = "/root/testdata/sf0.01"
@@ -22,9 +23,47 @@ def test_accuracy_and_clean_documents_stay(spark):
     assert right >= 0.97 * len(docs) and sum(r.rejected for r in got.values()) <= 0.01 * len(docs)
 
 
-def test_counts_by_plain_loops():
-    import pyarrow as pa
+def test_held_out_accuracy(spark):
+    """Fitted without every fifth document, scored on these."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = docs.where("doc_id % 5 = 0")
+    got = identify(held, fit(docs.where("doc_id % 5 <> 0"))).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.language == r.lang for r in got) >= 0.97 * len(got) and sum(r.rejected for r in got) <= 0.02 * len(got)
+
+
+def test_same_as_plain_loops(spark):
+    """Document frequencies, cosines with every centroid and rejection, one text at a time."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    m = fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    c = [counts(pa.array([r.text], pa.large_string()))[0].astype(float) for r in rows]
+    df = sum((x > 0).astype(float) for x in c)
+    idf = np.log((1 + len(rows)) / (1 + df)) + 0.05
+    assert np.allclose(m.idf, idf, rtol=1e-5)
+    got = {r.doc_id: r for r in op10_language_id(spark, SF).collect()}
+    for r, x in zip(rows, c):
+        v = np.log1p(x) * idf
+        cos = [float(v @ y / max(np.linalg.norm(v), 1e-12)) for y in m.centroids.astype(float)]
+        best = max(range(len(cos)), key=lambda i: (cos[i], -m.owner[i]))
+        length = min(int(np.log2(max(x.sum(), 1))), m.floor.shape[1] - 1)
+        floor = m.floor[m.owner[best], length]
+        assert got[r.doc_id].cosine == pytest.approx(cos[best] if x.any() else 0.0, abs=1e-5)
+        if x.any() and abs(cos[best] - floor) > 1e-5:
+            assert got[r.doc_id].rejected == (cos[best] < floor)
+            assert got[r.doc_id].language == (None if cos[best] < floor else m.langs[m.owner[best]])
+
+
+def test_centroids_are_those_of_plain_k_means():
+    r = np.random.default_rng(3)
+    x = np.abs(r.normal(size=(60, 8))) + 3 * np.eye(8)[r.integers(0, 3, 60)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = spherical(x, 3)
+    own = [max(range(3), key=lambda j: float(v @ got[j])) for v in x]
+    for j in range(3):  # a fixed point: every centroid is the direction of the sum of its own
+        s = sum(v for v, o in zip(x, own) if o == j)
+        assert np.allclose(got[j], s / np.linalg.norm(s), atol=1e-6)
+
 
+def test_counts_by_plain_loops():
     from hopweave.llm.language import DIM, DIM_BITS
 
     texts = ["Ab  c!", "", "é1é", "aaaa"]
