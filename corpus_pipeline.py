@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, repeated passages, source mix, packing.
 
 Every stage reads the table its predecessor wrote. Stages fit their models and statistics on their own
-input. All but the last return the columns of ``documents``.
+input. All but the last return the columns of ``documents``; more columns, whatever their names, pass through.
+All stages take empty tables and read texts of any length whole.
 """
 
 from __future__ import annotations
@@ -14,31 +15,41 @@ from hopweave.llm.mixing import mixed
 from hopweave.llm.near_dup import near_groups
 from hopweave.llm.packing import packed
 from hopweave.llm.repeats import without_repeats
-from hopweave.llm.shared import documents, materialise
+from hopweave.llm.shared import documents, fresh, materialise, small_batches
 
 
-def _columns(docs: DataFrame, but: str = "") -> list:
-    return [F.col(f"`{c}`") for c in docs.columns if c != but]
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, with that language in ``lang``."""
-    named = docs.withColumn("__r", language(docs, fit(docs), "text")).where("NOT __r.rejected")
-    return named.select(*[F.col("__r.language").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language is recognised, with that language in ``lang``. Null, empty and letterless texts
+    are rejected; repeated rows fare alike; ties between languages go to the first in the alphabet."""
+    small_batches(spark)
+    r = fresh(docs, "found")[0]
+    named = docs.withColumn(r, language(docs, fit(docs), "text")).where(~F.col(r)["rejected"])
+    return named.select(*[F.col(r)["language"].alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every near-duplicate group, of the smallest doc_id, and all rows without a near copy."""
-    groups = materialise(near_groups(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "copies", "keep"), "near")
-    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th"))
-    kept = docs.join(groups.where("NOT keep OR copies > 1"), same, "left_anti").select(*_columns(docs))
+    """One row of every near-duplicate group, of the smallest doc_id (then hash of the text), and all rows
+    without a near copy. Rows repeated in doc_id and text come back once; null and empty texts and rows
+    without a doc_id stay as they are; one doc_id on several texts is several documents."""
+    small_batches(spark)
+    own, th, copies, keep = fresh(docs, "own", "th", "copies", "keep")
+    groups = materialise(near_groups(docs).select(F.col("doc_id").alias(own), F.col("th").alias(th), F.col("copies").alias(copies), F.col("keep").alias(keep)), "near")
+    same = (docs["doc_id"].cast("long") == F.col(own)) & (F.xxhash64(docs["text"].cast("string")) == F.col(th))
+    kept = docs.join(groups.where(~F.col(keep) | (F.col(copies) > 1)), same, "left_anti").select(*_columns(docs))
     # rows kept that are there several times come back once
-    again = docs.join(groups.where("keep AND copies > 1"), same).dropDuplicates(["__id", "__th"]).select(*_columns(docs))
+    again = docs.join(groups.where(F.col(keep) & (F.col(copies) > 1)), same).dropDuplicates([own, th]).select(*_columns(docs))
     return kept.union(again)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more stay where they occur first; n_chars follows the text."""
+    """Passages of 50 words or more stay where they occur first, by doc_id and position; n_chars follows the
+    text, and texts that are all such passages go. Null and empty texts and rows without a doc_id stay as they
+    are; rows repeated in doc_id and text count as one and are changed alike."""
+    small_batches(spark)
     cut = without_repeats(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -46,12 +57,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix has copies of them."""
+    """Documents as often as the source mix has copies of them. Null and empty texts stay once; a null source
+    or language is a value of its own; repeated rows have the same number of copies each."""
+    small_batches(spark)
     return mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the training windows."""
+    """Pieces of the training windows. Texts without words have none; a null doc_id stays null; repeated rows
+    are packed once each; ties between neighbours go to the smaller hash."""
+    small_batches(spark)
     return packed(docs)
 
 
