@@ -37,12 +37,35 @@ def test_run_and_empty_input(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
-def test_nulls_pass_through(spark):
-    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (None, "the of and to in a " * 30, "en", "s", 9), (3, "the of and to in that is for " * 12, "en", None, 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+CLASH = ", found string, own string, th string, copies string, keep string, hit string, __text string, __id string, n_tokens string, rate string, nth string"
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in any column, empty and very long texts, repeats, one id on two texts, and clashing names."""
+    plain = "the of and to in that is for " * 12
+    long = " ".join(f"word{i % 977} and{i}" for i in range(60_000))
+    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (None, "the of and to in a " * 30, "en", "s", 9), (3, plain, "en", None, 9), (4, long, "en", "s", 1), (5, "one id on two texts of the same", "en", "s", 1), (5, "and the other that is in there", "en", "s", 1), (6, "the same row", "en", "s", 1), (6, "the same row", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, *"abcdefghijk") for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + CLASH)
+    out = {}
     for name, stage in cp.STAGES:
-        docs = materialise(stage(spark, docs, SF), name)
-    assert docs.columns == ["window_id", "seq", "doc_id", "start", "n_tokens"]
+        out[name] = materialise(stage(spark, docs, SF), name)
+        if name != "packing":
+            assert out[name].columns == docs.columns
+            assert all(tuple(r)[5:] == tuple("abcdefghijk") for r in out[name].collect())
+    texts = {n: sorted((r.doc_id or 0, r.text or "") for r in d.collect()) for n, d in out.items() if n != "packing"}
+    every = sorted((r[0] or 0, r[1] or "") for r in rows)
+    assert not {(1, ""), (2, "")} & set(texts["language_id"]) and (4, long) in texts["language_id"]
+    assert texts["near_dup"] == sorted(set(every))
+    ids = [i for i, _ in texts["repeats"]]
+    assert ids == [i for i, _ in every] and dict(texts["repeats"])[4] == long and len(dict(texts["repeats"])[3]) < len(plain)
+    assert (1, "") in texts["mixing"] and texts["mixing"].count((6, "the same row")) % 2 == 0
+    got = {}
+    for r in out["packing"].collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    want = {}
+    for i, t, *_ in rows:
+        want[i] = want.get(i, 0) + len((t or "").split())
+    assert got == {i: n for i, n in want.items() if n}
 
 
 def test_near_dup_keeps_one_row_of_every_group(spark):
