@@ -1,19 +1,27 @@
 """Toxicity of restored text: a noisy-channel decoder, then word scores.
 
-Channel: a writer spells a word with look-alike characters (1d10t), repeats letters (idiooot), or puts
-single letters apart (i d i o t, i-d-i-o-t). The lattice of a token holds, for every character, the
-letters it may stand for at a cost, and for every run of one letter one or two of it at a cost that grows with what is
-dropped. Viterbi finds the cheapest path under a character trigram model of the corpus. Plain words
-have one path, themselves, and skip the search; symbols at the edges of a token are noise, not letters.
-
-Model: trigram counts of plain words of all documents, summed by the cluster. Words: on a bounded
+Channel: a writer spells a word with look-alike characters (1d10t), repeats letters (idiooot, iddiot), puts
+symbols around it, or puts single letters apart (i d i o t, i-d-i-o-t). The lattice of a token holds, for
+every character, the letters it may stand for at a cost, and for every run of one letter one or two of it at
+a cost that grows with what is dropped. Viterbi finds the cheapest path under a character trigram model of
+the corpus. A token has several readings, as words are judged later: without the symbols at its edges, and with
+the inner ones of them taken for letters, as many on either side as there are ways to choose (of more than
+``SPLITS`` ways: all of them, and each as a letter or as noise, as is cheapest); and if it has
+letters in a row each of these as is cheapest and with all such letters double, the first also
+with a credit for every letter, which keeps doubles that are usual. Plain words have one path, themselves, and skip the search. Of letters that stand apart
+all stretches of 2 to ``LONGEST`` letters are words, as lone letters of the sentence may stand beside them;
+runs of such letters are read whole, whatever their length and the spaces between.
+
+Model: letter trigrams of all words of all documents, as they stand, summed by the cluster. Words: on a bounded
 sample of labelled documents (``FIT_ROWS``, drawn by a hash of doc_id) every restored word gets the
 lower confidence bound of its log odds for toxic against clean documents; words of few documents or
 without evidence weigh nothing. A document's score is the weight of its most telling word; the threshold is
 the one of best F1 on a held-out quarter of the sample, and the weights are then taken from all of it.
 
 Defined results: null and empty texts score 0 and are not toxic; without labels of both kinds nothing
-is; documents of any length are read whole; repeated rows have a row each.
+is; documents of any length are read whole; repeated rows have a row each; a labelled doc_id with several
+texts counts once for each of them, and labelled both ways it counts as toxic; equal costs go to the letter
+listed first; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import as_text, documents
-from .textnum import U, Words, chunks
+from .textnum import U, Words, chunks, mix, powers
 
 FIT_ROWS, LEAST_DOCS, Z, FLOOR = 20_000, 3, 1.5, 1.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -38,9 +46,13 @@ SWAP, DROP, STAR = 1.0, 0.4, 1.5
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Marks of a sentence, never letters.
 _MARKS = ".,;:?\"'`()[]{}<>"
-_APART = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-_TRIPLE = re.compile(r"(.)\1\1")
-APART = range(4, 15)
+_ROW = re.compile(r"(.)\1+", re.S)
+#: Letters of the longest word that is looked for in letters apart.
+LONGEST = 45
+NOISE, CREDIT, SPLITS = 3.0, 2.5, 16
+_RUN = re.compile(r"(.)\1*", re.S)
+#: Ways to read a token; LOOSE and DOUBLED may be joined.
+CHEAPEST, CREDITED, LOOSE, DOUBLED = 0, 1, 2, 4
 _SIZE = 28  # letters, other letters, edge
 
 
@@ -61,91 +73,164 @@ class Spelling:
         self.cost = (-np.log(tri)).tolist()
         self.known: dict[str, str] = {}
 
-    def restore(self, token: str) -> str:
-        """Cheapest spelling of a lower-case token without spaces."""
-        got = self.known.get(token)
+    def restore(self, token: str, how: int = CHEAPEST) -> str:
+        """Cheapest spelling of a lower-case token without spaces. CREDITED: with a credit for every letter;
+        LOOSE: symbols at the edges may be noise; DOUBLED: of letters in a row two are kept."""
+        got = self.known.get((token, how))
         if got is None:
-            if len(self.known) >= 1 << 18:
+            if len(self.known) >= 1 << 15:
                 self.known.clear()
-            got = self.known[token] = self._decode(token)
+            got = self.known[token, how] = self._decode(token, how)
         return got
 
-    def _decode(self, token: str) -> str:
+    def _slots(self, token: str, how: int) -> list[list[tuple[str, float]]]:
         slots: list[list[tuple[str, float]]] = []
+        inner = token.strip(_EDGE)
+        first = token.index(inner) if inner else 0
         i = 0
         while i < len(token):
             c, n = token[i], 1
             while i + n < len(token) and token[i + n] == c:
                 n += 1
             if c.isalpha():
-                opts = [(c, DROP * (n - 1))] + ([(c + c, DROP * (n - 2) if n > 2 else 0.0)] if n > 1 else [])
-                if n == 2:
-                    opts = [(c + c, 0.0)]
+                opts = [(c * k, DROP * (n - k)) for k in ((2,) if n > 1 and how & DOUBLED else (1, 2)[:n])]
             elif c in LOOKS:
                 swap = STAR if c == "*" else SWAP
-                opts = [(x * k, swap * n + (DROP if k < n else 0)) for x in LOOKS[c] for k in {1, n if n < 3 else 1}]
+                opts = [(x * k, swap * n + (DROP if k < n else 0)) for x in LOOKS[c] for k in ((2,) if n > 1 and how & DOUBLED else (1, 2)[:n])]
                 opts += [("", swap * 2)] if c == "*" else []
+                opts += [("", NOISE)] if how & LOOSE and not first <= i < first + len(inner) else []
             else:
                 opts = [("", 0.0)]
             slots.append(opts)
             i += n
-        paths: dict = {(27, 27): (0.0, None)}
-        cost = self.cost
-        for opts in slots:
+        return slots
+
+    def _decode(self, token: str, how: int) -> str:
+        slots = self._slots(token, how)
+        # letters without a choice cost the same on every path; only the two next to a choice count
+        open_ = [i for i, x in enumerate(slots) if len(x) > 1]
+        if not open_:
+            return "".join(x[0][0] for x in slots)
+        before = "".join(x[0][0] for x in slots[: open_[0]])
+        to = open_[-1] + 1
+        near = 0
+        while to < len(slots) and near < 2:
+            near += len(slots[to][0][0])
+            to += 1
+        a, b = ([27, 27] + [code(c) for c in before[-2:]])[-2:]
+        paths: dict = {(a, b): (0.0, None)}
+        cost, credit = self.cost, CREDIT if how == CREDITED else 0.0
+        for opts in slots[open_[0] : to]:
             nxt: dict = {}
             for (a, b), (w, back) in paths.items():
                 for letters, extra in opts:
                     x, y, v = a, b, w + extra
                     for ch in letters:
                         z = code(ch)
-                        v += cost[x][y][z]
+                        v += cost[x][y][z] - credit
                         x, y = y, z
                     old = nxt.get((x, y))
                     if old is None or v < old[0]:
                         nxt[x, y] = v, (letters, back)
             paths = nxt
-        back = min(((v + cost[x][y][27], p) for (x, y), (v, p) in paths.items()), key=lambda e: e[0])[1]
+        ends = near < 2  # the end of the word counts too
+        back = min(((v + (cost[x][y][27] if ends else 0.0), p) for (x, y), (v, p) in paths.items()), key=lambda e: e[0])[1]
         out = []
         while back is not None:
             out.append(back[0])
             back = back[1]
-        return "".join(reversed(out))
+        return before + "".join(reversed(out)) + "".join(x[0][0] for x in slots[to:])
+
+
+def doubles(word: str) -> set[str]:
+    """The paths of a word of letters: one or two of every run of a letter."""
+    out, at = {""}, 0
+    for m in _ROW.finditer(word):
+        out = {x + word[at : m.start()] + m[1] * k for x in out for k in (1, 2)}
+        at = m.end()
+    return {x + word[at:] for x in out}
+
 
+def restored(token: str, spelling: Spelling) -> set[str]:
+    """All readings of a token other than itself without the symbols around it."""
+    core = token.strip(_EDGE)
+    if core.isalpha() and len(token.strip(_MARKS)) == len(core) and len(_ROW.findall(core)) <= 4:
+        return doubles(core)
+    return {spelling.restore(*r) for r in readings(token)}
 
-def readings(token: str) -> list[str]:
-    """Spellings of a token that the decoder is asked for: without the symbols at its edges, and with
-    them where they may be letters."""
+
+def readings(token: str) -> list[tuple[str, int]]:
+    """Spellings of a token that the decoder is asked for, and how."""
     t = token.strip(_MARKS)
+    if not any(c.isalpha() for c in t):
+        return []
     core = t.strip(_EDGE)
+    ways = (CHEAPEST, DOUBLED) if _ROW.search(t) else (CHEAPEST,)
     out = []
-    if not core.isalpha() or _TRIPLE.search(core):
-        out.append(core)
-    if len(t) - len(core) in (1, 2):
-        out.append(t)
-    return [x for x in out if len(x) > 1 and any(c.isalpha() for c in x)]
-
-
-def gathered(run: str) -> set[str]:
-    """Words that letters set apart may make up: all stretches of a usual length, as lone letters of the
-    sentence may stand beside them."""
-    letters = "".join(run.split())
-    return {letters[i : i + n] for n in APART for i in range(len(letters) - n + 1)}
+    if len(core) > 1 and (not core.isalpha() or _ROW.search(core)):
+        out += [(core, how) for how in (*ways, CREDITED)]
+    if len(core) < len(t):
+        first = t.index(core)
+        last = first + len(core)
+        starts = [m.start() for m in _RUN.finditer(t[:first])] + [first]
+        ends = [last] + [last + m.end() for m in _RUN.finditer(t[last:])]
+        if len(starts) * len(ends) <= SPLITS:
+            out += [(t[s:e], how) for s in starts for e in ends if (s, e) != (first, last) for how in ways]
+        else:
+            out += [(t, how | loose) for how in ways for loose in (0, LOOSE)]
+    return out
+
+
+def stretches(letters: str) -> np.ndarray:
+    """Hashes of all words of 2 to ``LONGEST`` letters that letters set apart may make up."""
+    buf = np.frombuffer(letters.encode(), np.uint8)
+    at = np.r_[np.flatnonzero((buf & 0xC0) != 0x80), len(buf)]
+    p, q = powers(len(buf) + 1)
+    acc = np.zeros(len(buf) + 1, U)
+    np.cumsum((buf.astype(U) + U(1)) * p[: len(buf)], out=acc[1:])
+    return np.concatenate([mix((acc[at[n:]] - acc[at[:-n]]) * q[at[:-n]]) for n in range(2, min(LONGEST, len(at) - 1) + 1)] + [np.zeros(0, U)])
+
+
+def _sums(flag: np.ndarray, w: Words) -> np.ndarray:
+    """How many bytes of every word have the flag."""
+    total = np.zeros(len(flag) + 1, np.int64)
+    np.cumsum(flag, out=total[1:])
+    return total[w.end] - total[w.start]
+
+
+_KINDS = np.zeros((4, 256), bool)  # symbols and digits but marks, marks, beginnings of characters, letters and digits
+_KINDS[0][33:127] = True
+_KINDS[0][[*range(65, 91), *range(97, 123), *map(ord, _MARKS)]] = False
+_KINDS[1][list(map(ord, _MARKS))] = True
+_KINDS[2][[*range(128), *range(192, 256)]] = True
+_KINDS[3][[*range(48, 58), *range(65, 91), *range(97, 123), *range(192, 256)]] = True
 
 
 def _suspect(w: Words, buf: np.ndarray) -> np.ndarray:
-    """Words that aren't plain once edge symbols are off: a digit or symbol inside, or three of one
-    character in a row."""
-    n = len(buf)
-    odd = np.zeros(256, bool)
-    odd[33:127] = True
-    odd[[*range(65, 91), *range(97, 123)]] = False
-    bad = odd[buf]
-    triple = np.zeros(n, bool)
-    if n > 2:
-        triple[:-2] = (buf[:-2] == buf[1:-1]) & (buf[1:-1] == buf[2:])
-    total = np.zeros(n + 1, np.int64)
-    np.cumsum(bad | triple, out=total[1:])
-    return total[w.end] > total[w.start]
+    """Words that aren't plain: a digit, a symbol or a mark inside, or two of one letter in a row."""
+    marks = _KINDS[1][buf]
+    twice = np.zeros(len(buf), bool)
+    twice[1:] = (buf[1:] == buf[:-1]) & ~marks[1:]
+    edges = marks[w.start].astype(np.int64) + (marks[w.end - 1] & (w.end - w.start > 1))
+    heads = twice[w.start]  # the byte before belongs to another word
+    return (_sums(_KINDS[0][buf], w) > 0) | (_sums(marks, w) > edges) | (_sums(twice, w) > heads)
+
+
+def _apart(w: Words, buf: np.ndarray, raw: bytes) -> Iterator[tuple[int, str]]:
+    """(doc, letters) of runs of two or more words of one letter, which may have symbols around it."""
+    one = (_sums(_KINDS[2][buf] & ~_KINDS[1][buf], w) == 1) | (_sums(_KINDS[3][buf], w) == 1)
+    lone = np.flatnonzero(one)
+    if len(lone) < 2:
+        return
+    new = np.r_[True, (np.diff(lone) > 1) | (w.doc[lone[1:]] != w.doc[lone[:-1]])]
+    head = np.r_[np.flatnonzero(new), len(lone)]
+    for s, e in zip(head[:-1].tolist(), head[1:].tolist()):
+        if e - s > 1:
+            letters = []
+            for x, y in zip(w.start[lone[s:e]].tolist(), w.end[lone[s:e]].tolist()):
+                t = raw[x:y].decode().strip(_MARKS)
+                letters.append(t.strip(_EDGE) or t)
+            yield int(w.doc[lone[s]]), "".join(letters)
 
 
 class Tokens:
@@ -159,23 +244,27 @@ class Tokens:
         docs, hashes = [w.doc], [w.hash]
         at = np.flatnonzero(_suspect(loose, loose.buf))
         raw = loose.buf.tobytes()
+        # every distinct token is decoded once
+        _, first, token = np.unique(loose.hash[at], return_index=True, return_inverse=True)
         found: list[str] = []
-        whose: list[int] = []
-        for d, x, y in zip(loose.doc[at].tolist(), loose.start[at].tolist(), loose.end[at].tolist()):
-            for t in readings(raw[x:y].decode()):
-                found.append(spelling.restore(t))
-                whose.append(d)
-        lone = np.flatnonzero(loose.end - loose.start == 1)
-        row = lone[:-2][(lone[2:] - lone[:-2] == 2) & (loose.doc[lone[2:]] == loose.doc[lone[:-2]])] if len(lone) > 2 else lone[:0]
-        for d in np.unique(loose.doc[row]).tolist():
-            text = raw[loose.offs[d] : loose.offs[d + 1]].decode()
-            for t in set().union(*[gathered(m.group()) for m in _APART.finditer(text)]):
-                found.append(spelling.restore(t))
-                whose.append(d)
+        of: list[int] = []
+        for i, (x, y) in enumerate(zip(loose.start[at[first]].tolist(), loose.end[at[first]].tolist())):
+            for t in restored(raw[x:y].decode(), spelling):
+                found.append(t)
+                of.append(i)
         if found:
             more = Words(pa.array(found, pa.large_string()), strip_punct=True, lower=False)
-            docs.append(np.array(whose)[more.doc])
-            hashes.append(more.hash)
+            owner = np.array(of)[more.doc]  # ascending
+            n = np.bincount(owner, minlength=len(first))
+            start = np.r_[0, np.cumsum(n)]
+            times = n[token]
+            docs.append(np.repeat(loose.doc[at], times))
+            hashes.append(more.hash[np.repeat(start[:-1][token] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())])
+        for d, letters in _apart(loose, loose.buf, raw):
+            for t in {letters} | {spelling.restore(letters, how) for how in ((CHEAPEST, DOUBLED, CREDITED) if _ROW.search(letters) or not letters.isalpha() else ())}:
+                h = stretches(t)
+                docs.append(np.full(len(h), d))
+                hashes.append(h)
         doc, h = np.concatenate(docs).astype(U), np.concatenate(hashes)
         key = np.lexsort((h, doc))
         doc, h = doc[key], h[key]
@@ -184,7 +273,7 @@ class Tokens:
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Letter trigrams of all words that are plain; other letters than a to z are one class."""
+    """Letter trigrams of all words; other letters than a to z are one class, other characters separate."""
     total = np.zeros(_SIZE**3, np.int64)
     kind = np.full(256, 27, np.int64)
     kind[97:123] = np.arange(26)
@@ -248,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, sp: Spelling, id_col: str = "doc_id"
 
     texts = as_text(docs, id_col, text_col).join(F.broadcast(known), "doc_id")  # known has at most about fit_rows rows
     bag = texts.select("doc_id", "text", "toxic", "held").mapInArrow(bags, "doc_id long, toxic int, held boolean, bag binary")
-    bag = bag.dropDuplicates(["doc_id"]).persist()
+    bag = bag.dropDuplicates(["doc_id", "bag"]).persist()
     try:
         sizes = {(r.toxic > 0, r.held): r.n for r in bag.groupBy("toxic", "held").agg(F.count("*").alias("n")).collect()}
         n_t, n_c = sizes.get((True, False), 0), sizes.get((False, False), 0)
