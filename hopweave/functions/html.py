@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
+import numpy as np
+
 TEXT, START, END, SELF, COMMENT, DOCTYPE = "text", "start", "end", "self", "comment", "doctype"
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 #: Elements whose name counts in the structure of a page; others count as nameless.
@@ -107,19 +111,18 @@ ABSOLUTE = re.compile(r"https?://(?:-\.)?(?:[^\s/?.#-]+\.?)+(?:/[^\s]*)?")
 
 
 def meta(html: str) -> dict[str, str | None]:
-    """charset, content_type and refresh of the meta tags of the first 1,024 characters."""
+    """charset, content_type and refresh of the meta tags of the first 1,024 characters, the last of each; the
+    character set of a content type is in that."""
     out: dict[str, str | None] = {"charset": None, "content_type": None, "refresh": None}
     for t in tokens(html[:1024]):
         if t.kind in (START, SELF) and t.name == "meta":
             a = dict(t.attrs)
-            if "charset" in a:
-                out["charset"] = a["charset"].lower()
-            kind, value = a.get("http-equiv", "").lower(), a.get("content")
-            if value is not None and kind == "content-type":
+            if a.get("charset", "").strip():
+                out["charset"] = a["charset"].strip().lower()
+            kind, value = a.get("http-equiv", "").lower(), a.get("content", "").strip()
+            if value and kind == "content-type":
                 out["content_type"] = value.lower()
-                m = re.search(r"charset=\s*\"?([^\s;\"]+)", value.lower())
-                out["charset"] = m[1] if m else out["charset"]
-            elif value is not None and kind == "refresh":
+            elif value and kind == "refresh":
                 out["refresh"] = value
     return out
 
@@ -142,17 +145,23 @@ def features(html: str, limit: int) -> tuple[list[str], bool]:
     return out, True
 
 
+@lru_cache(maxsize=1 << 16)
+def _fnv(text: str) -> int:
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF) ^ b
+    return h
+
+
 def fingerprint(html: str, limit: int = 4096, shingle: int = 2, whole: bool = False) -> int:
     """64-bit SimHash of the structure, as a signed number. ``whole``: 0 for pages beyond ``limit``."""
     feats, ended = features(html, limit)
-    if whole and not ended:
+    if whole and not ended or len(feats) < shingle:
         return 0
-    votes = [0] * 64
-    for i in range(len(feats) - shingle + 1):
-        h = 0xCBF29CE484222325
-        for b in " ".join(feats[i : i + shingle]).encode():
-            h = (h * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF) ^ b
-        for k in range(64):
-            votes[k] += 1 if h >> k & 1 else -1
-    f = sum(1 << k for k in range(64) if votes[k] >= 0) if len(feats) >= shingle else 0
-    return f - (1 << 64) if f >= 1 << 63 else f
+    # shingles repeat, within a page and between pages: each is hashed once, and votes as often as it occurs
+    many = Counter(zip(*[feats[i:] for i in range(shingle)]))
+    hashes = np.fromiter((_fnv(" ".join(x)) for x in many), np.uint64, len(many))
+    times = np.fromiter(many.values(), np.int64, len(many))
+    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)
+    votes = times @ (2 * bits.astype(np.int64) - 1)
+    return int(np.bitwise_or.reduce(np.where(votes >= 0, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))).view(np.int64))

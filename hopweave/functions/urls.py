@@ -57,10 +57,8 @@ def check_host(host: str) -> str:
             raise BadURL("host") from e
     low = host.lower()
     if not low.isascii():
-        try:
-            low = low.encode("idna").decode()
-        except UnicodeError as e:
-            raise BadURL("host") from e
+        # punycode of every label as written, without the mappings of either IDNA standard
+        low = ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in host.split(".")).lower()
     if not _LABEL.fullmatch(low) or len(low) > 253:
         raise BadURL("host")
     return low

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,24 +30,65 @@ def fingerprints(html: Column, limit: int = 4096, shingle: int = 2, whole: bool
     return run(html)
 
 
-def similar_pairs(items: DataFrame, id_col: str, fp: str, radius: int, bits: int = 64) -> DataFrame:
-    """(a, b, distance), a < b, of fingerprints at most ``radius`` bits apart.
+def classes(items: DataFrame, id_col: str, fp: str) -> DataFrame:
+    """(id, class_id, n) of every item with a fingerprint: the smallest id of its fingerprint, and their number."""
+    by = items.where(F.col(fp).isNotNull()).groupBy(fp).agg(F.min(id_col).alias("class_id"), F.count("*").alias("n"))
+    return items.join(by, fp).select(F.col(id_col).alias("id"), "class_id", "n")
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    """All values of so many bits with at most ``radius`` ones."""
+    return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+
+
+def _bands(radius: int, bits: int) -> tuple[int, int]:
+    """Number of bands, and the bits that the nearest of them may differ in: the least expected work, of looking
+    up a value's neighbours and of comparing what is met."""
+
+    def work(m: int) -> float:
+        own = radius // m
+        near = sum(comb(-(-bits // m), i) for i in range(own + 1))
+        return m * near * (1 + 1e6 / 2 ** (bits // m))
+
+    m = min(range(1, min(radius + 1, bits) + 1), key=work)
+    return m, radius // m
+
 
-    Of radius + 1 bands of bits one has to be equal, so pairs meet in an equi-join on (band, value)."""
-    bands = radius + 1
-    edges = [bits * i // bands for i in range(bands + 1)]
-    values = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    rows = items.select(F.col(id_col).alias("id"), F.col(fp).alias("f"), F.explode(values).alias("k"))
-    a, b = rows.alias("a"), rows.alias("b")
-    d = F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f")))
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).where(d <= radius)
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance")).distinct()
+def similar_pairs(items: DataFrame, id_col: str, fp: str, radius: int, bits: int = 64) -> DataFrame:
+    """(a, b, distance), a < b, of classes of equal fingerprints at most ``radius`` bits apart, each told by
+    its smallest id; ``classes`` gives the members.
+
+    Of m bands of bits one differs in ``radius // m`` bits at most, so pairs meet in an equi-join of a band's value
+    with the values so near to it; a pair is taken from the first band where it meets. Members of a band are
+    never gathered: the join compares them as they stream by."""
+    m, own = _bands(radius, bits)
+    edges = [bits * i // m for i in range(m + 1)]
+    reps = items.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("f")).agg(F.min(id_col).alias("id"))
+    cuts = list(zip(edges, edges[1:]))
+
+    def value(f: Column, lo: int, hi: int) -> Column:
+        return F.shiftrightunsigned(f, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+
+    whole = reps.select("id", "f", F.posexplode(F.array(*[value(F.col("f"), lo, hi) for lo, hi in cuts])).alias("band", "v"))
+    sizes = {hi - lo for lo, hi in cuts}
+    by = {n: F.array(*[F.lit(x if x < 1 << 63 else x - (1 << 64)) for x in _masks(n, own)]) for n in sizes}
+    masks = F.element_at(F.array(*[by[hi - lo] for lo, hi in cuts]), F.col("band") + 1)
+    probe = whole if own == 0 else whole.select("id", "f", "band", F.explode(F.transform(masks, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
+    a, b = probe.alias("a"), whole.alias("b")
+    x = F.col("a.f").bitwiseXOR(F.col("b.f"))
+    d = F.bit_count(x)
+    earlier = F.lit(False)
+    for i, (lo, hi) in enumerate(cuts):
+        earlier = earlier | ((F.col("a.band") > i) & (F.bit_count(value(x, lo, hi)) <= own))
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id"))).where((d <= radius) & ~earlier)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance"))
 
 
 def keep_exact(items: DataFrame, order: str, fp: str) -> DataFrame:
-    """First item of every fingerprint; fingerprint 0 is never kept."""
-    first = F.row_number().over(Window.partitionBy(fp).orderBy(order)) == 1
-    return items.withColumn("kept", first & (F.col(fp) != 0))
+    """``items`` with ``kept``: whether it is the first of its fingerprint; fingerprint 0 and null are never kept."""
+    first = items.where(F.col(fp) != 0).groupBy(F.col(fp).alias("__fp")).agg(F.min(order).alias("__first"))
+    met = items.join(first, F.col(fp) == F.col("__fp"), "left")
+    return met.withColumn("kept", F.coalesce(F.col(order) == F.col("__first"), F.lit(False))).drop("__fp", "__first")
 
 
 def keep_similar(items: DataFrame, order: str, fp: str, radius: int, zero_node: bool = True) -> DataFrame:
@@ -58,7 +102,9 @@ def keep_similar(items: DataFrame, order: str, fp: str, radius: int, zero_node:
     pairs.write.parquet(f"{path}/pairs")
     pairs = spark.read.parquet(f"{path}/pairs")
     near_zero = F.bit_count(F.col(fp)) <= radius if zero_node else F.lit(False)
-    state = items.select(F.col(order).alias("id"), F.when(near_zero, 2).otherwise(0).alias("state"))
+    # of equal fingerprints only the first can be kept
+    first = items.where(F.col(fp).isNotNull()).groupBy(fp).agg(F.min(order).alias("id"))
+    state = first.select("id", F.when(near_zero, 2).otherwise(0).alias("state"))
     n = 0
     while True:
         state.write.parquet(f"{path}/state{n}")
@@ -70,15 +116,26 @@ def keep_similar(items: DataFrame, order: str, fp: str, radius: int, zero_node:
         state = state.join(earlier, "id", "left").select(
             "id", F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("near_kept", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("state")
         )
-    return items.join(state.select(F.col("id").alias(order), (F.col("state") == 1).alias("kept")), order)
+    kept = state.select(F.col("id").alias(order), (F.col("state") == 1).alias("kept"))
+    return items.join(kept, order, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+STEP = "array<struct<kind:string,depth:int,text:string>>"
 
 
 def shape(url: Column) -> Column:
-    """Steps of a URL down the shape tree: path segments, then sorted query keys and values."""
-    segments = F.filter(F.split(F.regexp_extract(url, "^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
-    pairs = F.array_sort(F.filter(F.split(F.regexp_extract(url, "\\?([^#]*)", 1), "&"), lambda x: x != ""))
-    keys = F.transform(pairs, lambda x: F.array(F.concat(F.lit("?"), F.substring_index(x, "=", 1)), F.concat(F.lit("="), F.regexp_replace(x, "^[^=]*=?", ""))))
-    return F.concat(segments, F.flatten(keys))
+    """Steps of a URL down the shape tree, array<struct(kind, depth, text)>: every path segment ("/"), empty
+    ones too, at depths from 1 on, then the decoded query pairs in order of key and value, key ("?") and value
+    ("=") of a pair at one depth."""
+    segments = F.split(F.regexp_extract(url, "^[a-z]+://[^/?#]*([^?#]*)", 1), "/")
+    path = F.transform(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), lambda x, i: F.struct(F.lit("/").alias("kind"), (i + 1).cast("int").alias("depth"), x.alias("text")))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pair = lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("k"), plain(F.when(x.contains("="), F.substring(x, F.locate("=", x) + 1, F.length(x))).otherwise("")).alias("v"))
+    given = F.filter(F.split(F.regexp_extract(url, "\\?([^#]*)", 1), "&"), lambda x: x != "")
+    pairs = F.array_sort(F.transform(given, pair))
+    depth = lambda i: (F.size(path) + i + 1).cast("int")
+    query = F.flatten(F.transform(pairs, lambda p, i: F.array(F.struct(F.lit("?").alias("kind"), depth(i).alias("depth"), p["k"].alias("text")), F.struct(F.lit("=").alias("kind"), depth(i).alias("depth"), p["v"].alias("text")))))
+    return F.concat(path.cast(STEP), query.cast(STEP))
 
 
 def threshold(depth: int) -> int:
@@ -87,34 +144,64 @@ def threshold(depth: int) -> int:
     return 14 if d == 0 else 14 - 2 * d
 
 
-def admit_shapes(items: DataFrame, host: str, url: str, seq: str, levels: int, limit=threshold) -> DataFrame:
-    """``items`` with ``admitted``: in order of arrival, a URL is turned down where it would be a new child
-    of a node that has its number of children. ``levels`` bounds the depth looked at (deeper steps
-    don't restrict); per level the children admitted are the first to come, by dense_rank."""
-    out = items.withColumn("__s", shape(F.col(url))).withColumn("admitted", F.lit(True))
-    prefix: list = [F.col(host)]
-    for d in range(levels):
-        step = F.get(F.col("__s"), F.lit(d))
-        alive = F.col("admitted") & step.isNotNull()
-        first = F.min(F.when(alive, F.col(seq))).over(Window.partitionBy(*prefix, step))
-        out = out.withColumn(f"__f{d}", F.when(alive, first))
-        rank = F.dense_rank().over(Window.partitionBy(*prefix).orderBy(F.col(f"__f{d}").asc_nulls_last()))
-        out = out.withColumn("admitted", F.when(F.col(f"__f{d}").isNotNull(), rank <= F.lit(limit(d))).otherwise(F.col("admitted")))
-        prefix.append(F.col(f"__f{d}"))
-    return out.drop("__s", *[f"__f{d}" for d in range(levels)])
-
-
-def has_shape(items: DataFrame, known: DataFrame, host: str, url: str, limit=threshold, levels: int = 8) -> DataFrame:
-    """``items`` with ``found``: the exact shape is among ``known``, or a node on its way is full."""
-    steps = known.select(F.col(host).alias("h"), shape(F.col(url)).alias("s"))
-    ends = steps.select("h", F.array_join("s", "\x00").alias("p")).distinct().withColumn("__exact", F.lit(True))
-    nodes = steps.select("h", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("s"), F.lit(levels))))).alias("d"), "s").where(F.size("s") >= F.col("d"))
-    fan = nodes.groupBy("h", F.col("d") - 1, F.array_join(F.slice("s", F.lit(1), F.col("d") - 1), "\x00").alias("p")).agg(F.countDistinct(F.get("s", F.col("d") - 1)).alias("n"))
-    fan = fan.toDF("h", "d", "p", "n")
-    cap = F.element_at(F.array(*[F.lit(limit(i)) for i in range(levels)]), F.col("d").cast("int") + 1)
-    full = fan.where(F.col("n") >= cap).select("h", "p").distinct().withColumn("__full", F.lit(True))
-    rows = items.withColumn("__s", shape(F.col(url))).withColumn("__id", F.monotonically_increasing_id())
-    hit = rows.withColumn("__p", F.array_join("__s", "\x00")).join(ends, (F.col(host) == F.col("h")) & (F.col("__p") == F.col("p")), "left").drop("h", "p")
-    above = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__s") - 1)), lambda i: F.array_join(F.slice("__s", F.lit(1), i), "\x00"))
-    ways = rows.select("__id", F.col(host).alias("__h"), F.explode(above).alias("__w")).join(full, (F.col("__h") == F.col("h")) & (F.col("__w") == F.col("p"))).select("__id").distinct().withColumn("__full", F.lit(True))
-    return hit.join(ways, "__id", "left").withColumn("found", F.coalesce("__exact", "__full", F.lit(False))).drop("__s", "__p", "__id", "__exact", "__full")
+def _node(prefix: Column, step: Column) -> Column:
+    """Name of the node that a step leads to."""
+    return F.concat(prefix, F.lit("\x00"), step["kind"], step["text"])
+
+
+def admit_shapes(items: DataFrame, host: str, url: str, seq: str, limit: Callable[[int], int] | None = threshold) -> DataFrame:
+    """``items`` with ``admitted``: in order of ``seq``, a URL is turned down where it would be a new child of a
+    node that has its number of children, ``limit`` of the child's depth; segments, query keys and values of a
+    node count apart. None admits all.
+
+    Level by level, down to the deepest step of the table: the children that a node admits are the first to
+    come of those reached. They are found from one row a child, and URLs under others are out."""
+    spark, root = items.sparkSession, f"{workspace(items.sparkSession)}/shapes-{uuid.uuid4().hex}"
+    own, rows = "__row", items.withColumn("__row", F.expr("uuid()"))
+    rows.write.parquet(f"{root}/items")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/items")
+    if limit is None:
+        return rows.drop(own).withColumn("admitted", F.lit(True))
+    alive = rows.select(own, F.col(seq).alias("seq"), F.coalesce(F.col(host), F.lit("")).alias("at"), F.coalesce(shape(F.col(url)), F.array().cast(STEP)).alias("steps"))
+    d = 0
+    while True:
+        alive.write.parquet(f"{root}/{d}")
+        alive = spark.read.parquet(f"{root}/{d}")
+        deepest = alive.agg(F.max(F.get("steps", F.lit(d))["depth"])).first()[0]
+        if deepest is None:  # no step left
+            break
+        step = F.get("steps", F.lit(d))
+        going = alive.where(F.size("steps") > d).withColumn("step", step)
+        child = going.groupBy("at", "step").agg(F.min("seq").alias("first"))
+        rank = F.row_number().over(Window.partitionBy("at", F.col("step.kind")).orderBy("first", "step.text"))
+        most = F.element_at(F.array(*[F.lit(int(limit(i))) for i in range(1, deepest + 1)]), F.col("step.depth"))
+        open_ = child.withColumn("rank", rank).where(F.col("rank") <= most).select("at", "step")
+        passed = going.join(open_, ["at", "step"], "left_semi").select(own, "seq", _node(F.col("at"), F.col("step")).alias("at"), "steps")
+        alive = passed.unionByName(alive.where(F.size("steps") <= d))
+        d += 1
+    out = rows.join(alive.select(own, F.lit(True).alias("admitted")), own, "left")
+    return out.withColumn("admitted", F.coalesce("admitted", F.lit(False))).drop(own)
+
+
+def has_shape(items: DataFrame, known: DataFrame, host: str, url: str, limit: Callable[[int], int] | None = threshold) -> DataFrame:
+    """``items`` with ``found``: every step is in the tree of ``known``, or the first that isn't is a segment or a
+    value under a node, or key, that has its number of children."""
+    walk = lambda f: F.aggregate(F.col("steps"), F.struct(f.alias("at"), F.array().cast("array<struct<at:string,step:struct<kind:string,depth:int,text:string>>>").alias("out")), lambda acc, x: F.struct(_node(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("step")))).alias("out")))["out"]
+    stepped = known.select(F.coalesce(F.col(host), F.lit("")).alias("host"), shape(F.col(url)).alias("steps"))
+    nodes = stepped.select(F.explode(walk(F.col("host"))).alias("w")).select("w.at", F.col("w.step.kind").alias("kind"), F.col("w.step.text").alias("text")).distinct()
+    fan = nodes.groupBy("at", "kind").agg(F.count("*").alias("n"))
+    rows = items.withColumn("__row", F.expr("uuid()"))
+    path = f"{workspace(items.sparkSession)}/lookup-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = items.sparkSession.read.schema(rows.schema).parquet(path)
+    asked = rows.select("__row", F.coalesce(F.col(host), F.lit("")).alias("host"), shape(F.col(url)).alias("steps"))
+    each = asked.select("__row", F.posexplode(walk(F.col("host"))).alias("d", "w")).select("__row", "d", "w.at", F.col("w.step.kind").alias("kind"), F.col("w.step.depth").alias("depth"), F.col("w.step.text").alias("text"))
+    missing = each.join(nodes, ["at", "kind", "text"], "left_anti").groupBy("__row").agg(F.min_by(F.struct("at", "kind", "depth"), "d").alias("m")).select("__row", "m.*")
+    missing = missing.join(fan, ["at", "kind"], "left")
+    if limit is None:
+        full = F.lit(False)
+    else:
+        deepest = asked.agg(F.max(F.size("steps"))).first()[0] or 1
+        most = F.element_at(F.array(*[F.lit(int(limit(i))) for i in range(1, deepest + 1)]), F.col("depth"))
+        full = (F.col("kind") != "?") & (F.coalesce("n", F.lit(0)) >= most) & F.col("n").isNotNull()
+    return rows.join(missing.select("__row", full.alias("found")), "__row", "left").withColumn("found", F.coalesce("found", F.lit(True))).drop("__row")

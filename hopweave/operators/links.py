@@ -70,10 +70,23 @@ def extracted(pages: DataFrame, positions: tuple[tuple[str, str], ...] = (("a",
     return each.select(*keep, "nth", F.col("__r.tag").alias("tag"), resolved(F.col("__r.base"), F.col("__r.ref")).alias("link")).where("link IS NOT NULL")
 
 
-def redirects(responses: DataFrame, url: str = "url", new_url: str = "new_url", refresh_url: str = "refresh_url") -> DataFrame:
-    """(url, link) of where responses lead, other than to themselves."""
+def sniffed_urls(pages: DataFrame, html: str = "html") -> DataFrame:
+    """A row per absolute URL in the running text of pages, as it stands there (``link``), without the page text."""
+
+    @F.arrow_udf("array<string>")
+    def run(h: pa.Array) -> pa.Array:
+        return pa.array([[ref for _, ref in located(x or "", (), False, True)] for x in h.to_pylist()], pa.list_(pa.string()))
+
+    keep = [c for c in pages.columns if c != html]
+    return pages.select(*keep, F.explode(run(F.col(html))).alias("link"))
+
+
+def redirects(responses: DataFrame, url: str = "url", new_url: str = "new_url", refresh_url: str = "refresh_url", always: bool = False) -> DataFrame:
+    """(url, link) of where responses lead, other than to themselves; ``always``: these as well, as an
+    extractor gives them."""
     to = F.array(F.col(new_url), F.col(refresh_url))
-    return responses.select(F.col(url).alias("url"), F.explode(F.array_distinct(to)).alias("link")).where("link IS NOT NULL AND link <> url")
+    found = responses.select(F.col(url).alias("url"), F.explode(to if always else F.array_distinct(to)).alias("link")).where("link IS NOT NULL")
+    return found if always else found.where("link <> url")
 
 
 def in_scope(parent: Column, link: Column, depth: Column, pattern: Pattern, max_depth: int = 0, span_hosts: bool = False, sub_domains: bool = False, shared_address: Column | None = None) -> Column:

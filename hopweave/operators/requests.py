@@ -43,10 +43,10 @@ def user_agent(req: Column, name: str) -> Column:
     return set_header(req, "User-Agent", name)
 
 
-def use(req: Column, client: str) -> Column:
-    return req.withField("client", F.lit(client))
+def use(req: Column, client: str | Column) -> Column:
+    return req.withField("client", F.lit(client) if isinstance(client, str) else client.cast("string"))
 
 
 def cancel(req: Column, when: Column) -> Column:
-    """Cancelled requests complete their URL without being sent."""
+    """Cancelled requests complete their URL without being sent (``frontier.Controller.prepare``)."""
     return req.withField("cancelled", req["cancelled"] | when)

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hopweave.functions.urls import part
+from hopweave.operators.requests import request, use
 
 
 def glob_regex(glob: str, sep: str = "") -> str:
@@ -167,6 +168,14 @@ class Routes:
         deepest = self.depth.get(url).cast("int")
         return ~stop & F.coalesce(depth < deepest, F.lit(True))
 
+    def spacing(self, host: Column, default_us: int = 0) -> Column:
+        """Microseconds between visits of a host."""
+        return F.coalesce(self.interval.get(host).cast("long"), F.lit(default_us).cast("long"))
+
+    def request(self, url: Column, method: str = "GET") -> Column:
+        """Request of a URL by the client of its route."""
+        return use(request(url, method), self.client.get(url))
+
     def ticket(self, url: Column) -> Column:
         return F.coalesce(self.score.get(url).cast("int"), F.lit(0))
 

@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopweave.functions.urls import part
+
 RETRY_DELAY_S, RETRY_MOST, MIN_DELAY_S = 10, 4, 10
 
 
-def outcome(status: Column) -> Column:
-    """ok, retry or error of an HTTP status; none at all (no answer) is to be tried again."""
-    return F.when(status.isNull(), "retry").when(status.between(200, 299), "ok").when((status >= 500) | (status.between(400, 499) & (status != 404)), "retry").otherwise("error")
+def outcome(status: Column, error: Column | None = None) -> Column:
+    """ok, retry, error or fatal of an HTTP status (none at all, no answer, is to be tried again) and of what
+    handling the response said: a class of these, or null."""
+    of = F.when(status.isNull(), "retry").when(status.between(200, 299), "ok").when((status >= 500) | (status.between(400, 499) & (status != 404)), "retry").otherwise("error")
+    return of if error is None else F.when(error.isin("retry", "error", "fatal"), error).otherwise(of)
+
+
+def visited(row: DataFrame, outcome: str, at: str, again: Column | None = None, retry_delay_s: int = RETRY_DELAY_S, most: int = RETRY_MOST, min_delay_s: int = MIN_DELAY_S, wanted: Column | None = None) -> DataFrame:
+    """URL states (URL_STATE) after a visit at the time ``at``, by the column ``outcome``.
+
+    ok: one more visit, no retries, and done unless ``again`` says that the URL is to be visited anew: at ``wanted``,
+    but no earlier than ``min_delay_s`` after the visit before this one. retry: one more retry, and done at the
+    ``most``-th, else due after ``retry_delay_s`` with score 0. error and cancelled: done. Completion is a state, so it
+    can't be counted twice."""
+    ok, retry = F.col(outcome) == "ok", F.col(outcome) == "retry"
+    again = F.lit(False) if again is None else again
+    tries = F.col("num_retry") + 1
+    later = F.col(at) + F.make_dt_interval(secs=F.lit(retry_delay_s))
+    next_ = F.greatest(F.col(at) if wanted is None else wanted, F.col("last") + F.make_dt_interval(secs=F.lit(min_delay_s)))
+    new = {
+        "done": F.when(ok, ~again).when(retry, tries >= most).otherwise(True),
+        "last": F.when(ok, F.col(at)).otherwise(F.col("last")),
+        "num_visit": F.col("num_visit") + ok.cast("int"),
+        "num_retry": F.when(ok, 0).when(retry, tries).otherwise(F.col("num_retry")),
+        "num_error": F.col("num_error") + F.col(outcome).isin("retry", "error", "fatal").cast("int"),
+        "next_at": F.when(ok & again, next_).when(retry & (tries < most), later),
+        "score": F.when(retry, 0).otherwise(F.col("score")),
+    }
+    return row.select(*[new[c].alias(c) if c in new else F.col(c) for c in row.columns])
 
 
 def retries(log: DataFrame, key: str, order: list[str], failed: Column, most: int = RETRY_MOST) -> DataFrame:
@@ -48,9 +76,47 @@ def exists(urls: DataFrame, state: DataFrame) -> DataFrame:
     return urls.join(state.select("url"), "url", "left_semi")
 
 
+def get(urls: DataFrame, state: DataFrame) -> DataFrame:
+    """States of ``urls``; a URL without one is an error."""
+    found = urls.select("url").distinct().join(state.withColumn("__there", F.lit(True)), "url", "left")
+    there = F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("no state of "), F.col("url"))).cast("boolean")).otherwise(F.lit(True))
+    return found.where(there).select(*state.columns)
+
+
+def depths(urls: DataFrame, state: DataFrame) -> DataFrame:
+    """(url, depth) of ``urls``; a URL without a state is an error."""
+    return get(urls, state).select("url", "depth")
+
+
+def context(items: DataFrame, state: DataFrame) -> DataFrame:
+    """Queue items with what calls for them may ask: depth, num_visit, num_error and last."""
+    return items.join(state.select("url", "depth", "num_visit", "num_error", "last"), "url")
+
+
+def encode(state: DataFrame) -> DataFrame:
+    """(url, record): states as JSON."""
+    return state.select("url", F.to_json(F.struct(*state.columns), {"ignoreNullFields": "false", "timestampFormat": _TIME}).alias("record"))
+
+
+def decode(records: DataFrame, schema: str) -> DataFrame:
+    """The states that ``encode`` made text of."""
+    return records.select(F.from_json("record", schema, {"timestampFormat": _TIME}).alias("r")).select("r.*")
+
+
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def four_part(state: DataFrame) -> DataFrame:
+    """States keyed by (scheme, host, path, query), the parameters of the query in order, as SQL stores keep them;
+    of URLs that differ only in that order the first counts."""
+    query = F.array_join(F.array_sort(F.filter(F.split(part(F.col("url"), "query"), "&"), lambda x: x != "")), "&")
+    keyed = state.select(part(F.col("url"), "scheme").alias("scheme"), part(F.col("url"), "host").alias("host"), part(F.col("url"), "path").alias("path"), query.alias("query"), F.struct("url", *[c for c in state.columns if c not in ("url", "host")]).alias("r"))
+    return keyed.groupBy("scheme", "host", "path", "query").agg(F.min_by("r", "r.url").alias("r")).select("scheme", "host", "path", "query", *[f"r.{c}" for c in state.columns if c not in ("url", "host")])
+
+
 def updated(state: DataFrame, changes: DataFrame) -> DataFrame:
     """``state`` with num_retry, num_visit, last and status of ``changes`` (one row a URL) where given."""
-    names = [c for c in ("num_retry", "num_visit", "last", "status") if c in changes.columns]
+    names = [c for c in ("num_retry", "num_visit", "num_error", "last", "status") if c in changes.columns]
     right = changes.select("url", *[F.col(c).alias("__" + c) for c in names])
     joined = state.join(right, "url", "left")
     return joined.select(*[F.coalesce("__" + c, c).alias(c) if c in names else F.col(c) for c in state.columns])
@@ -64,7 +130,7 @@ def completed(state: DataFrame, urls: DataFrame) -> DataFrame:
 
 def counters(state: DataFrame) -> DataFrame:
     """One row of the totals: urls, finished, visits, errors."""
-    return state.agg(F.count("*").alias("url_count"), F.count_if("done").alias("finish_count"), F.coalesce(F.sum("num_visit"), F.lit(0)).alias("visit_count"), F.coalesce(F.sum("num_retry"), F.lit(0)).alias("error_count"))
+    return state.agg(F.count("*").alias("url_count"), F.count_if("done").alias("finish_count"), F.coalesce(F.sum("num_visit"), F.lit(0)).alias("visit_count"), F.coalesce(F.sum("num_error" if "num_error" in state.columns else "num_retry"), F.lit(0)).alias("error_count"))
 
 
 def is_finished(state: DataFrame) -> bool:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,56 +9,10 @@ from hopweave.functions import content, freshness, urls
 from hopweave.functions.html import ABSOLUTE
 from hopweave.operators import dedup, frontier, links, pacing, requests, state, stats
 from hopweave.operators.rules import Pattern, Router
+from hopweave.plans.base import BITS, HOST, HOUR, LINKS, NORMAL, ORACLE_SQL, PAIRS, PATH, QUERIES, linked, query, table
 from hopweave.sources import readers
 from hopweave.streaming import flows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-HOUR = 3_600_000_000
-
-
-def query(sql: str | None = None):
-    """Register a query under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
-PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
-NORMAL = "rtrim(regexp_replace(url, '#.*$', ''), '?')"
-_CHARS = "array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9_.~$&+,/:;=@-]$') THEN c ELSE url_encode(c) END), '')"
-LINKS = f"""
-refs AS (
-  SELECT page_id, url, unnest(range(len(r))) AS nth, unnest(r) AS href
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS r FROM pages)
-),
-plain AS (
-  SELECT page_id, url, nth, replace(replace(replace(replace(href, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM refs
-),
-cut AS (SELECT *, regexp_extract(h, '^[^?#]*') AS path, regexp_extract(h, '^[^?#]*\\?([^#]*)', 1) AS q FROM plain),
-links AS (
-  SELECT page_id, url, nth,
-         regexp_extract(url, '^[a-z]+://[^/?#]*')
-         || CASE WHEN regexp_matches(path, '^([A-Za-z0-9_.~!$&''()*+,;=:@/\\[\\]-]|%[0-9A-Fa-f][0-9A-Fa-f])*$') THEN path ELSE {_CHARS} END
-         || CASE WHEN q = '' THEN '' ELSE '?' || q END AS link
-  FROM cut WHERE NOT regexp_matches(path, '%([^0-9A-Fa-f]|$|.([^0-9A-Fa-f]|$))')
-)"""
-SIGNS = "list_transform(embedding, lambda x: x > 0)"
-
-
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.page_links(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-
 
 @query(f"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, {HOST} AS host, {PATH} AS path, regexp_extract({PATH}, '^(.*/)?([^/]*)$', 1) AS dir, regexp_extract({PATH}, '^(.*/)?([^/]*)$', 2) AS file, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages")
 def url_parts(spark, sf_dir):
@@ -79,17 +31,17 @@ def site_files(spark, sf_dir):
 
 
 @query(f"WITH {LINKS} SELECT page_id, nth::INTEGER AS nth, link FROM links")
-def page_links(spark, sf_dir):
-    return _links(spark, sf_dir).select("page_id", "nth", "link")
+def pagelinked(spark, sf_dir):
+    return linked(spark, sf_dir).select("page_id", "nth", "link")
 
 
 @query(f"WITH {LINKS} SELECT {HOST} AS host, count(*) AS n_links, count(DISTINCT link) AS n_distinct FROM links GROUP BY 1")
 def host_link_counts(spark, sf_dir):
-    return _links(spark, sf_dir).groupBy(urls.part(F.col("url"), "host").alias("host")).agg(F.count("*").alias("n_links"), F.countDistinct("link").alias("n_distinct"))
+    return linked(spark, sf_dir).groupBy(urls.part(F.col("url"), "host").alias("host")).agg(F.count("*").alias("n_links"), F.countDistinct("link").alias("n_distinct"))
 
 
 @query(f"WITH {LINKS} SELECT page_id, nth::INTEGER AS nth, 'a' AS tag, link FROM links WHERE length(regexp_extract(link, '[^/]*$')) BETWEEN 2 AND 3")
-def extracted_links(spark, sf_dir):
+def extractedlinked(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = links.extracted(pages)
     fits = links.in_scope(F.col("url"), F.col("link"), F.lit(0), Pattern(file=["??", "???"]), max_depth=2)
@@ -119,21 +71,22 @@ def subdomain_pairs(spark, sf_dir):
     h = table(spark, sf_dir, "pages").select(urls.part(F.col("url"), "host").alias("host")).distinct()
     keyed = h.select("host", F.split("host", "\\.").alias("l")).where(F.size("l") > 1).select("host", F.slice("l", -2, 2).alias("d"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    return a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.host") < F.col("b.host"))).select(F.col("a.host").alias("a"), F.col("b.host").alias("b"))
+    met = a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.host") < F.col("b.host"))).where(urls.same_domain(F.col("a.host"), F.col("b.host")))
+    return met.select(F.col("a.host").alias("a"), F.col("b.host").alias("b"))
 
 
-@query(f"WITH h AS (SELECT DISTINCT {HOST} AS host FROM pages), d AS (SELECT host, length(host) % 7 AS ip FROM h) SELECT a.host AS a, b.host AS b, a.ip = b.ip AS same_ip FROM d a JOIN d b ON a.host < b.host")
+@query(f"WITH h AS (SELECT DISTINCT {HOST} AS host FROM pages) SELECT host AS page_host, regexp_replace(host, '^[^.]*[.]', '') AS link_host, length(host) % 7 = length(regexp_replace(host, '^[^.]*[.]', '')) % 7 AS same_ip FROM h")
 def same_ip(spark, sf_dir):
-    h = table(spark, sf_dir, "pages").select(urls.part(F.col("url"), "host").alias("host")).distinct()
-    dns = h.select("host", (F.length("host") % 7).cast("string").alias("ip"))
-    pairs = h.select(F.col("host").alias("a")).join(h.select(F.col("host").alias("b")), F.col("a") < F.col("b"))
-    return links.same_address(pairs, dns, "a", "b")
+    """Whether hosts share an address with the domain above them, as links between the two are judged."""
+    h = table(spark, sf_dir, "pages").select(urls.part(F.col("url"), "host").alias("page_host")).distinct().withColumn("link_host", F.regexp_replace("page_host", "^[^.]*[.]", ""))
+    hosts = h.select(F.col("page_host").alias("host")).union(h.select("link_host")).distinct()
+    return links.same_address(h, hosts.select("host", (F.length("host") % 7).cast("string").alias("ip")), "page_host", "link_host")
 
 
 @query(f"WITH {LINKS} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT {NORMAL} FROM pages)")
 def seen_anti_join(spark, sf_dir):
     seen = table(spark, sf_dir, "pages").select(urls.normalized(F.col("url")).alias("url"))
-    return dedup.unseen(_links(spark, sf_dir).select(F.col("link").alias("url")), seen)
+    return dedup.unseen(linked(spark, sf_dir).select(F.col("link").alias("url")), seen)
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, (value)::INTEGER DESC, event_id)::INTEGER AS position FROM (SELECT event_id, user_id, ts, floor(value) AS value FROM events)")
@@ -202,7 +155,7 @@ def status_classes(spark, sf_dir):
 @query(f"WITH {LINKS}, a AS (SELECT {HOST} AS host, 0 AS depth FROM pages UNION ALL SELECT regexp_extract(link, '^[a-z]+://([^/?#]*)', 1), 1 FROM (SELECT DISTINCT link FROM links)) SELECT host, depth, count(*) AS n FROM a GROUP BY ALL")
 def host_stats(spark, sf_dir):
     first = table(spark, sf_dir, "pages").select(urls.part(F.col("url"), "host").alias("host"), F.lit(0).alias("depth"))
-    next_ = _links(spark, sf_dir).select("link").distinct().select(urls.part(F.col("link"), "host").alias("host"), F.lit(1).alias("depth"))
+    next_ = linked(spark, sf_dir).select("link").distinct().select(urls.part(F.col("link"), "host").alias("host"), F.lit(1).alias("depth"))
     return stats.depth_histogram(first.union(next_))
 
 
@@ -230,46 +183,80 @@ def visit_limit(spark, sf_dir):
     return state.visits_left(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id")
 
 
-@query(f"""
-WITH s AS (SELECT page_id, {HOST} AS host, list_filter(string_split({PATH}, '/'), lambda x: x <> '') || flatten(list_transform(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '')), lambda x: ['?' || split_part(x, '=', 1), '=' || regexp_replace(x, '^[^=]*=?', '')])) AS s FROM pages),
-a0 AS (SELECT *, min(page_id) OVER (PARTITION BY host, s[1]) AS f0 FROM s),
-b0 AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY f0) <= 3 AS ok0 FROM a0),
-a1 AS (SELECT *, CASE WHEN ok0 AND len(s) >= 2 THEN min(page_id) FILTER (ok0 AND len(s) >= 2) OVER (PARTITION BY host, f0, s[2]) END AS f1 FROM b0),
-b1 AS (SELECT *, CASE WHEN f1 IS NULL THEN ok0 ELSE dense_rank() OVER (PARTITION BY host, f0 ORDER BY f1 NULLS LAST) <= 4 END AS ok1 FROM a1),
-a2 AS (SELECT *, CASE WHEN ok1 AND len(s) >= 3 THEN min(page_id) FILTER (ok1 AND len(s) >= 3) OVER (PARTITION BY host, f0, f1, s[3]) END AS f2 FROM b1)
-SELECT page_id, CASE WHEN f2 IS NULL THEN ok1 ELSE dense_rank() OVER (PARTITION BY host, f0, f1 ORDER BY f2 NULLS LAST) <= 5 END AS admitted FROM a2
-""")
+def _admission(levels: int, base: int) -> str:
+    """Levels of the shape tree one after the other: a step is {kind, depth, text}, ``base`` and its depth are a
+    node's number of children."""
+    steps = "list_transform(segs, lambda x, i: {'k': '/', 'd': i, 't': x}) || flatten(list_transform(list_sort(pairs), lambda p, i: [{'k': '?', 'd': len(segs) + i, 't': p[1]}, {'k': '=', 'd': len(segs) + i, 't': p[2]}]))"
+    out = [
+        f"u AS (SELECT page_id, {HOST} AS host, string_split({PATH}, '/')[2:] AS segs, list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: [split_part(x, '=', 1), regexp_replace(x, '^[^=]*=?', '')]) AS pairs FROM pages)",
+        f"l0 AS (SELECT page_id, host AS node, {steps} AS s, true AS ok FROM u)",
+    ]
+    for d in range(1, levels + 1):
+        out.append(f"f{d} AS (SELECT *, CASE WHEN ok AND len(s) >= {d} THEN min(page_id) FILTER (ok AND len(s) >= {d}) OVER (PARTITION BY node, s[{d}].k, s[{d}].t) END AS f FROM l{d - 1})")
+        out.append(f"l{d} AS (SELECT page_id, node || chr(1) || coalesce(s[{d}].k || s[{d}].t, '') AS node, s, CASE WHEN f IS NULL THEN ok ELSE dense_rank() OVER (PARTITION BY node, s[{d}].k, f IS NULL ORDER BY f) <= {base} + s[{d}].d END AS ok FROM f{d})")
+    return "WITH " + ",\n".join(out) + f"\nSELECT page_id, ok AS admitted FROM l{levels}"
+
+
+@query(_admission(8, 1))
 def url_shape_admission(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", urls.part(F.col("url"), "host").alias("host"))
-    return dedup.admit_shapes(p, "host", "url", "page_id", 3, lambda d: 3 + d).select("page_id", "admitted")
+    return dedup.admit_shapes(p, "host", "url", "page_id", lambda d: 1 + d).select("page_id", "admitted")
+
+
+@query()
+def url_shape_lookup(spark, sf_dir):
+    """Pages against the shapes of pages with an even id."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", urls.part(F.col("url"), "host").alias("host"))
+    return dedup.has_shape(p, p.where("page_id % 2 = 0"), "host", "url", lambda d: 3).select("page_id", "found")
+
+
+@query("SELECT page_id, CASE WHEN n <= 2 THEN 14 WHEN n > 6 THEN 2 ELSE 14 - 2 * n END::INTEGER AS most FROM (SELECT page_id, len(string_split(html, '<li>')) AS n FROM pages)")
+def shape_thresholds(spark, sf_dir):
+    n = F.size(F.split("html", "<li>"))
+    deepest = 7
+    most = F.element_at(F.array(*[F.lit(dedup.threshold(d)) for d in range(1, deepest + 1)]), F.least(n, F.lit(deepest)))
+    return table(spark, sf_dir, "pages").select("page_id", most.alias("most"))
 
 
 @query()
 def structural_fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", dedup.fingerprints(F.col("html")).alias("fingerprint"))
+    """Of whole pages; 0 for those of 4,096 tokens or more, as the reference has it."""
+    return table(spark, sf_dir, "pages").select("page_id", dedup.fingerprints(F.col("html"), whole=True).alias("fingerprint"))
 
 
-def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    bits = F.transform("embedding", lambda x, i: F.when(x > 0, i).otherwise(-1))
-    fp = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, i: F.when(i >= 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
-    return e.select("vec_id", fp.alias("fp"))
+def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 bits of every document: whether letter pairs occur an odd number of times."""
+    odd = [((F.length("text") - F.length(F.replace(F.col("text"), F.lit(g), F.lit("")))) / 2).cast("long") % 2 for g in reversed(PAIRS)]
+    fp = F.aggregate(F.array(*odd), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
+    return table(spark, sf_dir, "documents").select("doc_id", fp.alias("fp"))
 
 
-@query(f"WITH s AS (SELECT vec_id, {SIGNS} AS b FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (x.b[i] <> y.b[i])::INTEGER))::INTEGER AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 18")
+@query(f"WITH {BITS}, r AS (SELECT lo, hi, min(doc_id) AS id FROM bits GROUP BY 1, 2), p AS (SELECT a.id AS a, b.id AS b, (bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)))::INTEGER AS distance FROM r a JOIN r b ON a.id < b.id) SELECT * FROM p WHERE distance <= 3")
 def near_dup_pairs(spark, sf_dir):
-    return dedup.similar_pairs(_signs(spark, sf_dir), "vec_id", "fp", 18)
+    """Pairs of classes of equal fingerprints; near_dup_classes has their members."""
+    return dedup.similar_pairs(_bits(spark, sf_dir), "doc_id", "fp", 3)
+
+
+@query(f"WITH {BITS} SELECT doc_id AS id, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM bits WINDOW w AS (PARTITION BY lo, hi)")
+def near_dup_classes(spark, sf_dir):
+    return dedup.classes(_bits(spark, sf_dir), "doc_id", "fp")
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY n_chars % 97 ORDER BY doc_id) = 1 AND n_chars % 97 <> 0 AS kept FROM documents")
+@query(f"WITH {BITS} SELECT doc_id, row_number() OVER (PARTITION BY lo, hi ORDER BY doc_id) = 1 AND (lo <> 0 OR hi <> 0) AS kept FROM bits")
 def near_dup_keep(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("fp"))
-    return dedup.keep_exact(d, "doc_id", "fp").select("doc_id", "kept")
+    return dedup.keep_exact(_bits(spark, sf_dir), "doc_id", "fp").select("doc_id", "kept")
 
 
 @query()
 def near_dup_keep_radius(spark, sf_dir):
-    return dedup.keep_similar(_signs(spark, sf_dir), "vec_id", "fp", 18).select("vec_id", "kept")
+    return dedup.keep_similar(_bits(spark, sf_dir), "doc_id", "fp", 3).select("doc_id", "kept")
+
+
+@query()
+def near_dup_keep_pages(spark, sf_dir):
+    """The store of structural fingerprints: the first page of every one."""
+    p = table(spark, sf_dir, "pages").select("page_id", dedup.fingerprints(F.col("html"), whole=True).alias("fp"))
+    return dedup.keep_exact(p, "page_id", "fp").select("page_id", "kept")
 
 
 @query("""
@@ -288,7 +275,7 @@ def bfs_depth(spark, sf_dir):
 @query(f"WITH first_pages AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY {NORMAL} ORDER BY url) = 1), {LINKS.replace('FROM pages', 'FROM first_pages')}, k AS (SELECT DISTINCT {NORMAL} AS url FROM pages) SELECT url, {HOST} AS host, 0 AS depth, 200 AS status, true AS done, 1 AS num_visit FROM k UNION ALL SELECT l.url, {HOST.replace('url', 'l.url')}, 1, 404, true, 0 FROM (SELECT DISTINCT link AS url FROM links WHERE NOT contains(link, '*')) l WHERE l.url NOT IN (SELECT url FROM k)")
 def frontier_waves(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url", "html")
-    return frontier.crawl(spark, pages, pages.select("url"), accept=lambda page, link: ~link.contains("*"), max_depth=1)
+    return frontier.crawl(spark, pages, pages.select("url"), accept=lambda page, link: ~link.contains("*"), max_depth=1).select("url", "host", "depth", "status", "done", "num_visit")
 
 
 @query(f"WITH {LINKS}, k AS (SELECT DISTINCT {NORMAL} AS url FROM pages), s AS (SELECT url, true AS done FROM k UNION ALL SELECT DISTINCT link, false FROM links WHERE link NOT IN (SELECT url FROM k)) SELECT count(*) AS url_count, count(*) FILTER (done) AS finish_count, sum(done::INTEGER)::BIGINT AS visit_count, 0::BIGINT AS error_count FROM s")
@@ -297,7 +284,7 @@ def crawl_counters(spark, sf_dir):
     known = table(spark, sf_dir, "pages").select(urls.normalized(F.col("url")).alias("url")).distinct()
     empty = spark.createDataFrame([], "url string, depth int, done boolean, num_visit int, num_retry int")
     s = state.put_new(empty, known.withColumn("depth", F.lit(0)))
-    s = state.put_new(s, _links(spark, sf_dir).select(F.col("link").alias("url"), F.lit(1).alias("depth")))
+    s = state.put_new(s, linked(spark, sf_dir).select(F.col("link").alias("url"), F.lit(1).alias("depth")))
     s = s.withColumn("done", F.lit(False)).fillna(0, ["num_visit", "num_retry"])
     s = state.updated(state.completed(s, known), known.withColumn("num_visit", F.lit(1)))
     return state.counters(s)
@@ -337,12 +324,15 @@ def cache_pool(spark, sf_dir):
     return freshness.evicted(p.withColumn("used", F.col("page_id")), "page_id", "bytes", "used", 200_000).select("page_id", "kept")
 
 
-@query("SELECT url AS loc, (page_id % 10) / 10.0::DOUBLE AS priority, CASE page_id % 4 WHEN 0 THEN 604800000000000 WHEN 1 THEN 9223372036854775807 WHEN 2 THEN 0 ELSE 3600000000000 END::BIGINT AS changefreq, CASE page_id % 3 WHEN 0 THEN TIMESTAMP '2024-03-01' WHEN 1 THEN TIMESTAMP '2024-03-01 10:30:00' END AS lastmod FROM (SELECT page_id, rtrim(url) AS url FROM pages)")
+_FREQ = "['weekly', 'never', '', 'hourly', 'always', 'daily', 'monthly', 'yearly']"
+_TIMES = "['2024-03-01', '2024-03-01T12:30:00+02:00', '', '2024-03-01T12:30+02:00', '2024-03-01T10:30:00.250Z', '2024-03', '2024']"
+
+
+@query(f"SELECT url AS loc, (page_id % 10) / 10.0::DOUBLE AS priority, [604800000000000, 9223372036854775807, 0, 3600000000000, 1000000000, 86400000000000, 2592000000000000, 31536000000000000][page_id % 8 + 1]::BIGINT AS changefreq, [TIMESTAMP '2024-03-01', TIMESTAMP '2024-03-01 10:30:00', NULL, TIMESTAMP '2024-03-01 10:30:00', TIMESTAMP '2024-03-01 10:30:00.25', TIMESTAMP '2024-03-01', TIMESTAMP '2024-01-01'][page_id % 7 + 1] AS lastmod FROM (SELECT page_id, rtrim(url) AS url FROM pages)")
 def sitemap_decode(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
-    freq = F.expr("CASE page_id % 4 WHEN 0 THEN 'weekly' WHEN 1 THEN 'never' WHEN 2 THEN '' ELSE 'hourly' END")
-    mod = F.expr("CASE page_id % 3 WHEN 0 THEN '2024-03-01' WHEN 1 THEN '2024-03-01T12:30:00+02:00' ELSE '' END")
+    freq, mod = (F.expr(f"array({x[1:-1]})[page_id % {n}]") for x, n in ((_FREQ, 8), (_TIMES, 7)))
     xml = F.concat(F.lit("<url><loc>"), esc, F.lit("</loc><priority>"), (F.col("page_id") % 10 / 10).cast("string"), F.lit("</priority><changefreq>"), freq, F.lit("</changefreq><lastmod>"), mod, F.lit("</lastmod></url>"))
     out = readers.sitemap_texts(p.select(xml.alias("xml")), "xml")
     return out.withColumn("lastmod", F.col("lastmod").cast("timestamp_ntz"))
@@ -374,11 +364,12 @@ def refresh_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", content.refresh(v).alias("r")).select("page_id", "r.*")
 
 
-@query(f"WITH t AS (SELECT page_id, 'see ' || url || ', or http://e.com/x?' || page_id || ' (https://f.org)' AS text FROM pages) SELECT page_id, unnest(regexp_extract_all(text, '{ABSOLUTE.pattern}', 0)) AS link FROM t")
+@query(f"WITH t AS (SELECT page_id, html || '<p>see ' || url || ' , http://e.com/x?' || page_id || ' (https://f.org) </p>' AS html FROM pages) SELECT page_id, unnest(regexp_extract_all(html, '{ABSOLUTE.pattern}', 0)) AS link FROM t")
 def sniff_absolute_urls(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(", or http://e.com/x?"), F.col("page_id").cast("string"), F.lit(" (https://f.org)"))
-    return p.select("page_id", F.explode(F.regexp_extract_all(text, F.lit(ABSOLUTE.pattern), F.lit(0))).alias("link"))
+    """Absolute URLs in the running text of whole pages. The pages have none, so a last paragraph names some."""
+    esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    html = F.concat("html", F.lit("<p>see "), esc, F.lit(" , http://e.com/x?"), F.col("page_id").cast("string"), F.lit(" (https://f.org) </p>"))
+    return links.sniffed_urls(table(spark, sf_dir, "pages").select("page_id", html.alias("html"))).select("page_id", "link")
 
 
 @query("SELECT page_id, url, 'GET' AS method, 'hopweave' AS agent, 'Basic dTpw' AS auth, CASE WHEN page_id % 5 = 0 THEN true ELSE false END AS cancelled FROM pages")
@@ -402,3 +393,6 @@ def stream_spacing(spark, sf_dir):
 @query(CUT)
 def stream_cutoff(spark, sf_dir):
     return flows.drain(flows.cut_off_stream(_similar(flows.table_stream(spark, sf_dir, "events")), "user_id", "event_id", "similar", 20), spark)
+
+
+from hopweave.plans import crawling  # noqa: E402, F401  (registers its queries)

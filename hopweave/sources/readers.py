@@ -13,17 +13,21 @@ _TIMES = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yy
 
 def seed_file(spark: SparkSession, path: str, offset: int = 1, limit: int | None = None) -> DataFrame:
     """URLs of a text file, one a line, without comments and empty lines; ``limit`` of them from the
-    ``offset``-th (from 1) on."""
-    lines = spark.read.text(path, wholetext=False).where("trim(value) <> '' AND NOT startswith(value, '#')").select(F.trim("value").alias("url"))
-    if offset > 1:
-        lines = lines.offset(offset - 1)
-    return lines if limit is None else lines.limit(limit)
+    ``offset``-th (from 1) on, in the order of the file's lines (of several files, of their paths)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.where("trim(value) <> '' AND NOT startswith(value, '#')").select(F.trim("value").alias("url"), "f", "at", "n")
+    if offset == 1 and limit is None:
+        return lines.select("url")
+    ordered = lines.orderBy("f", "at", "n").offset(offset - 1)
+    return (ordered if limit is None else ordered.limit(limit)).select("url")
 
 
 def seeds(urls: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct normalized seeds at depth 0; a seed that isn't a URL is an error."""
+    """Distinct normalized seeds at depth 0; a seed that isn't a URL, and a table without seeds, is an error."""
+    if urls.isEmpty():
+        raise ValueError("no seeds")
     n = normalized(F.col(url))
-    return urls.select(F.when(n.isNull(), F.raise_error(F.concat(F.lit("bad seed "), F.col(url)))).otherwise(n).alias("url"), F.lit(0).alias("depth")).dropDuplicates(["url"])
+    return urls.select(F.when(n.isNull(), F.raise_error(F.concat(F.lit("bad seed "), F.coalesce(F.col(url), F.lit("null"))))).otherwise(n).alias("url"), F.lit(0).alias("depth")).dropDuplicates(["url"])
 
 
 def frequency(text: Column) -> Column:
@@ -57,10 +61,21 @@ def sitemap_texts(rows: DataFrame, xml: str) -> DataFrame:
     return sitemap_rows(parsed.select("__u.*"))
 
 
+def answers(pages: DataFrame) -> DataFrame:
+    """(key, status, fails, error, html): what a table of pages answers for every normal URL.
+
+    Of several pages with one normal URL the one whose URL is written first counts. Columns that ``pages`` may have:
+    ``status`` (200 where null), ``fails``: how often a fetch gets 503 before that, and ``error``: the class (retry,
+    error, fatal) of the error that handling the page ends in."""
+    have = lambda c, kind, other: (F.coalesce(F.col(c).cast(kind), F.lit(other)) if c in pages.columns else F.lit(other).cast(kind)).alias(c)
+    rows = pages.select(normalized(F.col("url")).alias("key"), "url", F.struct(have("status", "int", 200), have("fails", "int", 0), have("error", "string", None), F.col("html")).alias("r"))
+    return rows.where("key IS NOT NULL").groupBy("key").agg(F.min_by("r", "url").alias("r")).select("key", "r.*")
+
+
 def fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """``frontier`` (url, ...) with (status, html) of a page table."""
-    held = pages.select(normalized(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
-    return frontier.join(held, "url", "left").withColumn("status", F.when(F.col("html").isNull(), 404).otherwise(200))
+    """``frontier`` (url, ...) with (status, html) of a page table; 404 where it has none."""
+    held = answers(pages).select(F.col("key").alias("url"), "status", "html")
+    return frontier.join(held, "url", "left").withColumn("status", F.coalesce("status", F.lit(404)))
 
 
 def save_pages(pages: DataFrame, root: str, url: str = "url", html: str = "html") -> int:

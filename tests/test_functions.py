@@ -91,12 +91,78 @@ def test_fingerprints_are_close():
 def test_page_meta(spark):
     page = '<html><head><meta http-equiv="Content-Type" content="text/html; charset=GBK"><meta http-equiv=refresh content="30; URL=1.html"></head>'
     m = spark.createDataFrame([(page,), (None,), ("<meta charset=UTF-8>",)], "h string").select(content.page_meta(F.col("h")).alias("m")).collect()
-    assert m[0].m.charset == "gbk" and m[0].m.content_type == "text/html; charset=gbk" and m[0].m.refresh == "30; URL=1.html" and m[1].m is None and m[2].m.charset == "utf-8"
+    assert m[0].m.charset is None and m[0].m.content_type == "text/html; charset=gbk" and m[0].m.refresh == "30; URL=1.html" and m[1].m is None and m[2].m.charset == "utf-8"
     rows = {"30; URL=1.html": (30, "1.html"), "5": (5, None), "x; url=a": (0, None), "7,url = b c ": (7, "b c"), "": (0, None), "3;u=a": (3, None)}
     df = spark.createDataFrame([(k,) for k in rows], "v string").select("v", content.refresh(F.col("v")).alias("r"))
     assert {r.v: (r.r.seconds, r.r.url) for r in df.collect()} == rows
 
 
+def test_page_vector(spark):
+    """Meta tags, headers and where a page says it is, together."""
+    page = '<html><head><meta http-equiv="content-type" content="text/html;charset=GBK"><meta http-equiv="refresh" content="30; URL=1.html"></head>'
+    df = spark.createDataFrame([(page, {"content-location": "index.html"}, "http://h/d/")], "h string, heads map<string,string>, url string")
+    m = content.page_meta(F.col("h"))
+    kind = content.page_type(F.lit("text/html"), F.lit(False), m["content_type"])
+    row = df.select(kind.alias("k"), content.locations(F.col("heads"), F.col("url")).alias("l"), content.refresh(m["refresh"]).alias("r"), content.charset(F.encode("h", "UTF-8"), kind["content_type"]).alias("c")).first()
+    assert tuple(row.k) == ("text/html; charset=gbk", True) and tuple(row.c) == ("gbk", True) and tuple(row.r) == (30, "1.html")
+    assert row.l.content_location == "http://h/d/index.html" and row.l.refresh_seconds is None
+
+
+def test_charset_decisions(spark):
+    rows = [
+        ("<html>你好，世界</html>".encode(), "text/html", ("utf-8", False)), ("<html>你好，世界</html>".encode(), "text/html; charset=utf-8", ("utf-8", True)), (b"<html><body></body></html>", "text/html; charset=gbk", ("gbk", True)),
+        (b"<html>plain", "text/html", ("utf-8", True)), (b"\xef\xbb\xbfx", "text/html; charset=gbk", ("utf-8", True)), (b"<meta charset=Latin1>\xe9", "text/html", ("utf-8", True)), (b"<meta charset=koi8-r>\xe9", "text/html; charset=none", ("koi8-r", False)),
+        (b"x\xe9", "text/html", ("utf-8", True)), (b"x", "text/plain", None), (None, "text/html", ("utf-8", True)), (("x" + "é" * 600).encode(), "text/html", ("utf-8", False)),
+    ]
+    df = spark.createDataFrame([(b, t) for b, t, _ in rows], "b binary, t string")
+    got = [None if r.c is None else tuple(r.c) for r in df.select(content.charset(F.col("b"), F.col("t")).alias("c")).collect()]
+    assert got == [w for *_, w in rows]
+    assert [content.known_charset(x) for x in ("UTF8", "iso-8859-1", "nope", None, "Shift_JIS")] == ["utf-8", "windows-1252", None, None, "shift_jis"]
+
+
+def test_structural_fingerprint_by_plain_loops(spark):
+    """Features, hashes and votes one at a time, of the pages of a table and of three alike."""
+    from hopweave.plans.catalogue import QUERIES
+    from tests.conftest import SF
+
+    def plain(page, limit=4096):
+        feats, n = [], 0
+        for t in html.tokens(page):
+            n += 1
+            if n >= limit:
+                return 0
+            tag = t.name if t.kind in ("start", "end", "self") and t.name in html.ATOMS else ""
+            own = {"start": "A:", "end": "B:", "self": "C:", "doctype": "D:", "comment": "E:", "text": "F:"}[t.kind] + tag
+            last = own
+            if t.kind in ("start", "self") and t.attrs:
+                k, v = t.attrs[-1]
+                last = f"G:{tag}:{k}:{v}" if k in ("class", "href", "name", "rel") else f"G:{tag}:{k}"
+            feats += [own, last]
+        votes = [0] * 64
+        for a, b in zip(feats, feats[1:]):
+            h = 0xCBF29CE484222325
+            for c in f"{a} {b}".encode():
+                h = h * 0x100000001B3 % 2**64 ^ c
+            for i in range(64):
+                votes[i] += 1 if h >> i & 1 else -1
+        f = sum(1 << i for i in range(64) if votes[i] >= 0) if len(feats) > 1 else 0
+        return f - 2**64 if f >= 2**63 else f
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.fingerprint for r in QUERIES["structural_fingerprint"](spark, SF).collect()}
+    assert got == {i: plain(h) for i, h in pages.items()} and any(got.values())
+    assert [html.fingerprint(x, whole=True) for x in ("", "<p>", "<p>" * 5000)] == [plain(x) for x in ("", "<p>", "<p>" * 5000)]
+    first = {}
+    for i in sorted(got):
+        first.setdefault(got[i], i)
+    kept = {r.page_id: r.kept for r in QUERIES["near_dup_keep_pages"](spark, SF).collect()}
+    assert kept == {i: got[i] != 0 and first[got[i]] == i for i in got}
+
+
+def test_punycode_keeps_letters_as_they_are():
+    assert urls.normalize("http://straße.de/") == "http://xn--strae-oqa.de/" and urls.normalize("http://bücher.example/") == "http://xn--bcher-kva.example/"
+
+
 def test_bodies(spark):
     text = "grün 漢"
     rows = [(gzip.compress(text.encode()), "gzip", None), (zlib.compress(text.encode()), "deflate", None), (text.encode("gbk", "ignore"), "", "gbk"), (b"\xff\xfe" + text.encode("utf-16le"), "identity", "gbk"), (b"x", "br", None), (b"x", "gzip,deflate", None), (None, "", None)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from urllib.parse import parse_qsl, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from hopweave.operators import dedup, frontier, links, pacing, state, stats
 from hopweave.operators.rules import Pattern
 from hopweave.functions import freshness
 from hopweave.sources import readers
-from hopweave.sources.storage import StateStore
+from hopweave.sources.storage import URL_STATE, StateStore, save_jdbc
 from hopweave.streaming import flows
 
 EVENTS = "host string, seq long, ts timestamp, score int"
@@ -67,40 +68,88 @@ def test_many_items_of_one_time_come_out_once(spark):
     assert pops == [5_000_000 + 10 * i for i in range(2000)]
 
 
-def admit(rows, limit):
-    """URL by URL, in order of arrival."""
-    tree, out = {}, {}
-    for seq, host, path in rows:
-        node, ok = tree.setdefault(host, {}), True
-        for d, step in enumerate(path):
-            if step not in node:
-                ok = len(node) < limit(d)
-                break
-            node = node[step]
-        if ok:
-            node = tree[host]
-            for step in path:
-                node = node.setdefault(step, {})
-        out[seq] = ok
-    return out
-
-
-def test_shape_admission_is_the_sequential_rule(spark):
-    r = random.Random(7)
-    rows = [(i, r.choice("xy"), [r.choice("abcdef") for _ in range(r.randrange(4))]) for i in range(200)]
-    limit = lambda d: 3 - (d > 0)
-    df = spark.createDataFrame([(i, h, f"http://{h}/" + "/".join(p)) for i, h, p in rows], "seq long, host string, url string")
-    got = {x.seq: x.admitted for x in dedup.admit_shapes(df, "host", "url", "seq", 4, limit).collect()}
-    assert got == admit(rows, limit)
+class Tree:
+    """URL by URL: nodes with children by segment, and by query key and value."""
+
+    def __init__(self):
+        self.child, self.query = {}, {}
+
+    def steps(self, url):
+        u = urlsplit(url)
+        return u.path.split("/")[1:], sorted(parse_qsl(u.query, keep_blank_values=True))
+
+    def add(self, url, limit):
+        node, (segments, pairs) = self, self.steps(url)
+        made = []
+        for depth, s in enumerate(segments, 1):
+            if s not in node.child:
+                if len(node.child) >= limit(depth):
+                    return False
+                made.append((node.child, s))
+            node = node.child.get(s) or Tree()
+            if made:
+                made[-1][0].setdefault(made[-1][1], node)
+        keys = node.query
+        for depth, (k, v) in enumerate(pairs, len(segments) + 1):
+            if k not in keys and len(keys) >= limit(depth):
+                return False
+            values = keys.setdefault(k, {})
+            if v not in values and len(values) >= limit(depth):
+                return False
+            keys = values.setdefault(v, {})
+        return True
+
+    def has(self, url, limit):
+        node, (segments, pairs) = self, self.steps(url)
+        for depth, s in enumerate(segments, 1):
+            if s not in node.child:
+                return 0 < len(node.child) and len(node.child) >= limit(depth)
+            node = node.child[s]
+        keys = node.query
+        for depth, (k, v) in enumerate(pairs, len(segments) + 1):
+            if k not in keys:
+                return False
+            if v not in keys[k]:
+                return len(keys[k]) >= limit(depth)
+            keys = keys[k][v]
+        return True
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_shape_admission_and_lookup_are_the_sequential_rules(spark, seed):
+    r = random.Random(seed)
+    query = lambda: "&".join(f"{r.choice('kl')}={r.choice('uvw')}" for _ in range(r.randrange(4)))
+    url = lambda h: f"http://{h}" + "".join("/" + r.choice(["a", "b", "c", "d", "e", ""]) for _ in range(r.randrange(4))) + r.choice(["", "?" + query()])
+    rows = [(i, h, url(h)) for i in range(250) for h in [r.choice("xy")]]
+    limit = lambda d: 3 - (d > 1)
+    df = spark.createDataFrame(rows, "seq long, host string, url string")
+    trees = {"x": Tree(), "y": Tree()}
+    want = {i: trees[h].add(u, limit) for i, h, u in rows}
+    assert 30 < sum(want.values()) < 220
+    admitted = dedup.admit_shapes(df, "host", "url", "seq", limit)
+    assert {x.seq: x.admitted for x in admitted.collect()} == want
+    asked = [(i, h, url(h)) for i in range(1000, 1200) for h in [r.choice("xy")]]
+    found = dedup.has_shape(spark.createDataFrame(asked, "seq long, host string, url string"), admitted.where("admitted"), "host", "url", limit)
+    assert {x.seq: x.found for x in found.collect()} == {i: trees[h].has(u, limit) for i, h, u in asked}
+
+
+def test_shape_vectors(spark):
+    data = ["/pkg/net/", "/pkg/net/http/", "/pkg/", "/doc/", "", "/", "/src/", "/src/?page=1&id=1", "/src/?page=1", "/src/?id=1", "/src/?id=2&page=1", "?hello=world", "/?hello=world"]
+    df = spark.createDataFrame([(i, "localhost", "http://localhost" + u) for i, u in enumerate(data)], "seq long, host string, url string")
+    assert all(r.admitted for r in dedup.admit_shapes(df, "host", "url", "seq", None).collect())
+    assert all(r.found for r in dedup.has_shape(df, df, "host", "url", None).collect())
+    steps = [("/pkg/net/http/httptest", True), ("/pkg/net/url", True), ("/pkg/net/hello", False), ("/pkg/net/url?hello=world", True), ("/pkg/net/url?hello=foo", True), ("/pkg/net/url?hello=bar", False), ("/pkg/net/url?foo=world", True), ("/pkg/net/url?bar=world", False)]
+    ask = lambda rows, n: {r.seq: r.admitted for r in dedup.admit_shapes(spark.createDataFrame([(i, "localhost", "http://localhost" + u) for i, (u, _) in enumerate(rows)], "seq long, host string, url string"), "host", "url", "seq", lambda d: n).collect()}
+    assert ask(steps[:2], 1) == {0: True, 1: False}
+    assert ask(steps, 2) == {i: ok for i, (_, ok) in enumerate(steps)}
 
 
 def test_shape_steps_and_thresholds(spark):
-    df = spark.createDataFrame([(1, "h", "http://h/pkg/net/url?b=2&a=1&a"), (2, "h", "http://h"), (3, "h", "http://h/pkg/x")], "seq long, host string, url string")
-    assert [r.s for r in df.select(dedup.shape(F.col("url")).alias("s")).collect()] == [["pkg", "net", "url", "?a", "=", "?a", "=1", "?b", "=2"], [], ["pkg", "x"]]
+    df = spark.createDataFrame([("http://h/pkg//net/?b=2&a=%31&a",), ("http://h",), ("http://h/",)], "url string")
+    assert [[tuple(x) for x in r.s] for r in df.select(dedup.shape(F.col("url")).alias("s")).collect()] == [
+        [("/", 1, "pkg"), ("/", 2, ""), ("/", 3, "net"), ("/", 4, ""), ("?", 5, "a"), ("=", 5, ""), ("?", 6, "a"), ("=", 6, "1"), ("?", 7, "b"), ("=", 7, "2")], [], [("/", 1, "")],
+    ]
     assert [dedup.threshold(d) for d in range(1, 8)] == [14, 14, 8, 6, 4, 2, 2]
-    ask = spark.createDataFrame([(1, "h", "http://h/pkg/net/url?a=1&b=2&a"), (2, "h", "http://h/pkg/other"), (3, "h", "http://h/new"), (4, "g", "http://g/pkg"), (5, "h", "http://h")], "seq long, host string, url string")
-    got = {r.seq: r.found for r in dedup.has_shape(ask, df, "host", "url", lambda d: 2).collect()}
-    assert got == {1: True, 2: True, 3: False, 4: False, 5: True}
 
 
 def test_similar_pairs_and_greedy_keep(spark):
@@ -109,8 +158,11 @@ def test_similar_pairs_and_greedy_keep(spark):
     fps = [b ^ sum(1 << r.randrange(64) for _ in range(r.randrange(4))) for b in base for _ in range(6)] + [0, 1, 3]
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
-    want = {(i, j, (fps[i] ^ fps[j]).bit_count()) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
-    assert {tuple(x) for x in dedup.similar_pairs(df, "id", "fp", 3).collect()} == want
+    first = {f: min(i for i, g in enumerate(fps) if g == f) for f in fps}
+    for radius in (0, 3, 9, 17):
+        want = sorted((min(i, j), max(i, j), (f ^ g).bit_count()) for f, i in first.items() for g, j in first.items() if i < j and (f ^ g).bit_count() <= radius)
+        assert sorted(tuple(x) for x in dedup.similar_pairs(df, "id", "fp", radius).collect()) == want
+    assert {(r.id, r.class_id, r.n) for r in dedup.classes(df, "id", "fp").collect()} == {(i, first[f], fps.count(f)) for i, f in enumerate(fps)}
     for zero in (True, False):
         kept: list[int] = [0] if zero else []
         out = {}
@@ -138,15 +190,34 @@ def test_outcomes(spark):
 def test_state_store(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     assert store.load().count() == 0
-    s = store.save(state.put_new(store.load(), spark.createDataFrame([("u", 3), ("u", 1), ("v", 2)], "url string, depth int")).fillna({"done": False, "num_visit": 0, "num_retry": 0}))
+    store.save(state.put_new(store.load(), spark.createDataFrame([("u", 3), ("u", 1), ("v", 2)], "url string, depth int")).fillna({"done": False, "num_visit": 0, "num_retry": 0}))
+    s = store.load()
     assert {(r.url, r.depth) for r in s.collect()} == {("u", 1), ("v", 2)}
     assert state.put_new(s, spark.createDataFrame([("u", 0)], "url string, depth int")).count() == 2
-    s = store.save(state.updated(s, spark.createDataFrame([("u", 4)], "url string, num_visit int")))
+    # a version holds what has changed; the rest stays
+    store.save(state.updated(s, spark.createDataFrame([("u", 4, 2)], "url string, num_visit int, num_error int")).where("url = 'u'"))
     one = spark.createDataFrame([("u",), ("u",), ("x",)], "url string")
-    s = store.save(state.completed(s, one))
-    assert tuple(state.counters(s).first()) == (2, 1, 4, 0) and not state.is_finished(s)
+    store.save(state.completed(store.load(), one))
+    s = store.load()
+    assert tuple(state.counters(s).first()) == (2, 1, 4, 2) and not state.is_finished(s)
     assert [r.url for r in store.unfinished().collect()] == ["v"] and [r.url for r in state.exists(one.distinct(), s).collect()] == ["u"]
     assert state.is_finished(state.completed(s, spark.createDataFrame([("v",)], "url string")))
+    assert [tuple(r) for r in state.depths(spark.createDataFrame([("v",)], "url string"), s).collect()] == [("v", 2)]
+    with pytest.raises(Exception, match="no state of x"):
+        state.get(one, s).collect()
+    assert {tuple(r) for r in state.decode(state.encode(s), URL_STATE).collect()} == {tuple(r) for r in s.collect()}
+    before = {tuple(r) for r in s.collect()}
+    store.compact()
+    assert {tuple(r) for r in store.read(store.versions()[-1]).collect()} == before
+
+
+def test_states_in_a_database(spark, tmp_path):
+    rows = [("http://h/a?y=2&x=1", "h", 1), ("http://h/a?x=1&y=2", "h", 0), ("https://h/", "h", 2)]
+    keyed = state.four_part(spark.createDataFrame(rows, "url string, host string, depth int"))
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    save_jdbc(keyed, url, "urls", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    back = spark.read.jdbc(url, "urls", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    assert {tuple(r) for r in back.collect()} == {("http", "h", "/a", "x=1&y=2", 0), ("https", "h", "/", "", 2)}
 
 
 def site():
@@ -161,10 +232,110 @@ def test_crawl_of_three_levels(spark, tmp_path):
     assert got == {"http://h/": (0, 200, 1), "http://h/pkg/": (1, 200, 1), "http://o/": (1, 404, 0), "http://h/pkg/a": (2, 200, 1), "http://h/pkg/b": (2, 200, 1), "http://h/pkg/gone": (3, 404, 0)}
     own = frontier.crawl(spark, pages, seeds, accept=lambda p, l: l.startswith("http://h/"), max_depth=1, store=StateStore(spark, str(tmp_path / "s")))
     assert {r.url for r in own.collect()} == {"http://h/", "http://h/pkg/"}
-    store = StateStore(spark, str(tmp_path / "r"))
-    store.save(spark.createDataFrame([("http://h/pkg/b", "h", 2, False, 0, None, 0, 0)], store.load().schema))
-    again = frontier.crawl(spark, pages, seeds.limit(0), max_depth=0, store=store, resume=True)
-    assert [r.url for r in again.collect()] == ["http://h/pkg/b"] and store.unfinished().count() == 0
+    old = StateStore(spark, str(tmp_path / "r"))
+    old.save(spark.createDataFrame([("http://old.com/", "old.com", 0, True, 200, 1, 0), ("http://h/pkg/b", "h", 5, False, None, 0, 2)], "url string, host string, depth int, done boolean, status int, num_visit int, num_retry int"))
+    again = {r.url: (r.depth, r.done, r.num_visit, r.num_retry) for r in frontier.crawl(spark, pages, None, max_depth=5, store=old, resume=True).collect()}
+    assert again == {"http://old.com/": (0, True, 1, 0), "http://h/pkg/b": (5, True, 1, 0)}  # at the greatest depth no links are followed
+    for bad in ([], [("no url",)], [(None,)]):
+        with pytest.raises(Exception, match="seed"):
+            frontier.crawl(spark, pages, spark.createDataFrame(bad, "url string")).collect()
+
+
+def states(df):
+    return sorted(tuple(r) for r in df.select("url", "depth", "done", "status", "last", "num_visit", "num_retry", "num_error", "next_at", "score").collect())
+
+
+def test_steps_give_what_one_run_gives(spark, tmp_path):
+    """A crawl that stops after every wave, with failures, retries, late links and small waves."""
+    rows = [(u, h, {"http://h/pkg/": 2, "http://h/pkg/b": 9}.get(u, 0), {"http://h/pkg/a": "error"}.get(u)) for u, h in site()]
+    pages = spark.createDataFrame(rows, "url string, html string, fails int, error string")
+    seeds = spark.createDataFrame([("http://h/",)], "url string")
+    whole = frontier.crawl(spark, pages, seeds, max_depth=5)
+    by = {r.url: r for r in whole.collect()}
+    assert (by["http://h/pkg/"].num_visit, by["http://h/pkg/"].num_error, by["http://h/pkg/"].last.second) == (1, 2, 20)
+    assert by["http://h/pkg/b"].status == 503 and by["http://h/pkg/b"].num_retry == 4 and by["http://h/pkg/b"].done
+    # handling a ended in an error, but its links were followed all the same
+    assert by["http://h/pkg/a"].num_visit == 0 and by["http://h/pkg/a"].depth == 2 and "http://h/pkg/gone" not in by
+    for size in (None, 1):
+        store = StateStore(spark, str(tmp_path / f"steps{size}"))
+        frontier.crawl(spark, pages, seeds, max_depth=5, store=store, waves=1, wave_size=size)
+        while not state.is_finished(store.load()):
+            out = frontier.crawl(spark, pages, None, max_depth=5, store=store, resume=True, waves=1 if size is None else 4, wave_size=size)
+        assert states(out) == states(whole)
+    # another seed given to a crawl that has ended: what is stored isn't visited again
+    more = frontier.crawl(spark, pages, spark.createDataFrame([("http://h/",), ("http://n/",)], "url string"), store=store, resume=True)
+    assert states(more.where("url <> 'http://n/'")) == states(whole) and more.where("url = 'http://n/'").first().status == 404
+
+
+def test_fatal_errors_end_the_run(spark):
+    pages = spark.createDataFrame([("http://h/", "", "fatal")], "url string, html string, error string")
+    with pytest.raises(RuntimeError, match="http://h/"):
+        frontier.crawl(spark, pages, pages.select("url"))
+
+
+def test_http_cache_sequence(spark):
+    """Two paths of a server, one fresh for a second and one to be asked for each time; its answer changes midway."""
+    asked = [("/normal", 0, "0"), ("/normal", 1, "0"), ("/revalidate", 2, "0"), ("/revalidate", 3, "0"), ("/normal", 500, "2"), ("/revalidate", 501, "2"), ("/normal", 1001, "2"), ("/normal", 1002, "2"), ("/revalidate", 1003, "2"), ("/revalidate", 1004, "2")]
+    rows = [(k, i, at, "GET", tag, "max-age=1" if k == "/normal" else "no-cache", 200, None) for i, (k, at, tag) in enumerate(asked)]
+    df = spark.createDataFrame(rows, "key string, nth long, at_ms long, method string, etag string, cache_control string, status int, age long")
+    got = [(r.server_hit, r.not_modified, r.served) for r in freshness.revalidated(df).orderBy("nth").collect()]
+    want = [(True, False, "0"), (False, False, "0"), (True, False, "0"), (True, True, "0"), (False, False, "0"), (True, False, "2"), (True, False, "2"), (False, False, "2"), (True, True, "2"), (True, True, "2")]
+    assert got == want
+    assert all(r.server_hit and not r.not_modified for r in freshness.revalidated(df, pool=False).collect())
+
+
+@pytest.mark.parametrize("burst", [1, 3])
+def test_updatable_bucket_is_the_sequential_rule(spark, burst):
+    rows, df = events(spark, seed=5)
+    limits = lambda host, asked: ((1 + asked % 3) * 1_000_000, burst)
+    want = {}
+    for h in "abc":
+        tokens, at, count, asked, d = float(burst), None, 0, 1, 1_000_000
+        for _, seq, s, _ in sorted((x for x in rows if x[0] == h), key=lambda x: (x[2], x[1])):
+            t = s * 1_000_000
+            tokens = burst if at is None else min(burst, tokens + (t - at) / d)
+            if count >= 4:
+                d, asked, count = limits(h, asked)[0], asked + 1, 0
+            at, count, tokens = t, count + 1, tokens - 1
+            want[seq] = round(max(0.0, -tokens) * d)
+    assert {r.seq: r.wait_us for r in pacing.updatable_wait(df, "host", "ts", "seq", limits, 4).collect()} == want
+
+
+def test_a_stream_waits_as_the_table_does(spark):
+    from hopweave.plans import crawling
+    from tests.conftest import SF
+
+    both = [sorted(tuple(r) for r in f(spark, SF).collect()) for f in (crawling.updatable_limit, crawling.stream_limit)]
+    assert both[0] == both[1] and any(w for *_, w in both[0])
+
+
+def test_pool_keeps_the_last_that_fit(spark):
+    r = random.Random(3)
+    rows = [(i, r.randrange(50), r.randrange(20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, n long, used long")
+    total, want = 0, {}
+    for i, n, _ in sorted(rows, key=lambda x: (-x[2], x[0])):
+        total += n
+        want[i] = total <= 1500
+    assert {x.id: x.kept for x in freshness.evicted(df, "id", "n", "used", 1500).collect()} == want
+    assert freshness.evicted(df.limit(0), "id", "n", "used", 5).count() == 0
+
+
+def test_no_global_window_or_cross_join(spark):
+    from hopweave.plans import catalogue
+    from tests.conftest import SF
+
+    for name in ("cache_pool", "near_dup_pairs", "near_dup_keep", "same_ip", "http_cache_hits", "seen_anti_join"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+        assert not ("Window" in plan and "SinglePartition" in plan), name
+
+
+def test_seed_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("#x\n" + "".join(f"http://h/{i}\n" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("\nhttp://h/b\n")
+    got = [r.url for r in readers.seed_file(spark, str(tmp_path), offset=2999, limit=3).collect()]
+    assert got == ["http://h/2998", "http://h/2999", "http://h/b"]
 
 
 def test_link_filters(spark):
@@ -206,6 +377,7 @@ def test_saved_pages_stay(spark, tmp_path):
 
 def test_streams_go_on_where_they_were(spark, tmp_path):
     rows, df = events(spark, n=60)
+    df = df.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))  # a stream's clock begins after 1970
     src = tmp_path / "in"
     for i in range(3):
         df.where((F.col("seq") >= 20 * i) & (F.col("seq") < 20 * i + 20)).coalesce(1).write.mode("append").parquet(str(src))
