@@ -8,6 +8,10 @@ darts in every document. A dart counts if it lies below the document's weight of
 equal to their weighted Jaccard similarity. Bands of coordinates give candidates, whole signatures
 confirm them, and connected components of the confirmed pairs are the groups.
 
+A band's bucket of up to ``HOT`` different documents is linked by one task. Larger ones are never gathered: all
+members are compared with the bucket's hub, its smallest, where they lie; those unlike the hub are set against all
+members in cells of ``CELL`` by ``CELL``, as many tasks as it takes, so no link of a bucket is lost.
+
 Defined results: null or word-less texts and rows without a doc_id are in no group; repeated rows and
 equal texts are one group; the smallest doc_id of a group is kept. Rows are told apart by doc_id and
 text, so one doc_id may stand on several texts; of these the one of the smallest hash counts as first.
@@ -22,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import as_text, documents, materialise
+from .shared import as_text, discard, documents, materialise
 from .textnum import U, Words, chunks, grams, mix
 
 K, ROWS, SHINGLE, THRESHOLD = 128, 4, 2, 0.55
+HOT, CELL = 4096, 1024
 GOLD = U(0x9E3779B97F4A7C15)
 LOW = U((1 << 48) - 1)
 
@@ -186,6 +191,79 @@ def _link(k: int, threshold: float):
     return run
 
 
+def _to_hub(k: int, least: int):
+    """Whether members of hot buckets are like their hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                c = b.slice(at, 4096)
+                own, hub = (np.frombuffer(b"".join(c.column(x).to_pylist()), np.uint16).reshape(-1, k) for x in ("sig", "hub_sig"))
+                near = (own == hub).sum(axis=1) >= least
+                yield pa.record_batch([*(c.column(x) for x in ("key", "doc_id", "n", "hub")), pa.array(near), c.column("sig")], names=["key", "doc_id", "n", "hub", "near", "sig"])
+
+    return run
+
+
+def _cells(k: int, least: int):
+    """Edges of the cells of hot buckets: rows unlike the hub (``far``) against each other and some of the members.
+    Of members like the hub, which are linked already, one partner a row is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def edges() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            ids, far = t.column("doc_id").to_numpy(), t.column("far").to_numpy()
+            near = t.column("near").to_numpy()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, k)
+            open_ = np.flatnonzero(far | ~near)
+            a, b = [], []
+            for i, j in spans(sig[open_], least):
+                a.append(ids[open_[i]])
+                b.append(ids[open_[j]])
+            known = np.flatnonzero(~far & near)
+            for i in np.flatnonzero(far) if len(known) else ():
+                like = (sig[known] == sig[i]).sum(axis=1) >= least
+                if like.any():
+                    a.append(ids[i])
+                    b.append(ids[known[np.argmax(like)]])
+            x, y = np.array(a, np.int64), np.array(b, np.int64)
+            return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        for b in batches:
+            cell = list(zip(*(b.column(c).to_pylist() for c in ("key", "r", "s"))))
+            at = 0
+            for i in range(1, len(cell) + 1):
+                if i == len(cell) or cell[i] != cell[at]:
+                    if now is not None and cell[at] != now:
+                        yield edges()
+                        held = []
+                    now = cell[at]
+                    held.append(b.slice(at, i - at))
+                    at = i
+        if held:
+            yield edges()
+
+    return run
+
+
+def _hot_edges(members: DataFrame, reps: DataFrame, hot: DataFrame, k: int, least: int, cell: int) -> DataFrame:
+    """Edges of the buckets ``hot`` (key, n, hub) among ``members`` (key, doc_id)."""
+    hubs = hot.join(reps.select(F.col("doc_id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    rows = members.join(hubs, "key").join(reps, "doc_id").select("key", "doc_id", "n", "hub", "sig", "hub_sig")
+    told = materialise(rows.mapInArrow(_to_hub(k, least), "key long, doc_id long, n long, hub long, near boolean, sig binary"), "hot")
+    star = told.where("near AND doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    many = told.where("NOT near").groupBy("key").agg(F.count("*").alias("n_far"))
+    both = told.join(many, "key")
+    part = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(n / cell)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / cell).cast("int") - 1))
+    far = both.where("NOT near").select("key", part(F.col("n_far"), "r").alias("r"), every(F.col("n")).alias("s"), "doc_id", F.lit(True).alias("far"), "near", "sig")
+    rest = both.select("key", every(F.col("n_far")).alias("r"), part(F.col("n"), "s").alias("s"), "doc_id", F.lit(False).alias("far"), "near", "sig")
+    placed = far.unionByName(rest).repartition("key", "r", "s").sortWithinPartitions("key", "r", "s")
+    return star.union(placed.mapInArrow(_cells(k, least), "a long, b long").where("a <> b"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): connected components, root the smallest node, by alternating stars.
 
@@ -201,7 +279,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        now = materialise(small.distinct(), "edges")
+        last, now = now, materialise(small.distinct(), "edges")
+        discard(last)
         is_ = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(is_) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -209,7 +288,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD, hot: int = HOT, cell: int = CELL
 ) -> DataFrame:
     """(doc_id, th, copies, group_id, keep) of the distinct rows that have a near copy: th is the hash of the
     text, copies the rows of that doc_id and text, group_id the doc_id of the row kept."""
@@ -219,10 +298,16 @@ def near_groups(
     exact = signed.groupBy("bag").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
     reps = signed.select(F.col("node").alias("doc_id"), "sig").join(exact.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = materialise(reps, "representatives")
-    buckets = reps.mapInArrow(_bands(k, rows), "key long, doc_id long").groupBy("key").agg(F.collect_list("doc_id").alias("ids"))
-    shared = buckets.where(F.size("ids") > 1).select("key", F.explode("ids").alias("doc_id"))
+    banded = reps.mapInArrow(_bands(k, rows), "key long, doc_id long")
+    # only the sizes of the buckets are gathered, and the smallest member
+    keys = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1"), "buckets")
+    shared = banded.join(keys.where(F.col("n") <= hot).select("key"), "key")
     rows_ = shared.join(reps, "doc_id").select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id")
-    roots = components(rows_.mapInArrow(_link(k, threshold), "a long, b long"))
+    edges = rows_.mapInArrow(_link(k, threshold), "a long, b long")
+    large = keys.where(F.col("n") > hot)
+    if not large.isEmpty():
+        edges = edges.union(_hot_edges(banded, reps, large, k, int(np.ceil(threshold * k)), cell))
+    roots = components(edges)
     out = signed.select("doc_id", "th", "bag").join(exact, "bag").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     # a group of several bags also holds its root's own bag, which has no entry in roots
     several = roots.select(F.col("root").alias("rep")).distinct().withColumn("several", F.lit(True))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from hopweave.llm.near_dup import dart_signatures, near_duplicates, op9_near_dup, spans
+from hopweave.llm.near_dup import dart_signatures, near_duplicates, near_groups, op9_near_dup, spans
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,3 +93,27 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.group_id, r.keep) for r in near_duplicates(docs).collect()}
     assert {(3, 3, True), (4, 3, False), (5, 5, True), (6, 5, False)} <= got and {d for d, _, _ in got} <= {3, 4, 5, 6, 7}
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_hot_buckets_lose_no_link(spark):
+    """Buckets taken for hot are linked as others: by their hub, and in cells where members differ."""
+    r = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(6):
+        base = r.choice(words, 60).tolist()
+        for j in range(30):  # a drift, so that the ends of a chain are unlike each other and linked by its middle
+            base[int(r.integers(60))] = f"x{g}_{j}"
+            rows.append((100 * g + j, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(x.doc_id, x.group_id, x.keep) for x in near_groups(docs).collect()}
+    for cell in (3, 64):
+        assert {(x.doc_id, x.group_id, x.keep) for x in near_groups(docs, hot=4, cell=cell).collect()} == want
+    assert len(want) > 100
+
+
+def test_one_id_on_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a.replace("a7 ", "z ")), (3, b), (4, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.copies, r.group_id, r.keep) for r in near_groups(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
