@@ -7,6 +7,8 @@ All stages take empty tables and read texts of any length whole.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from hopweave.llm.mixing import mixed
 from hopweave.llm.near_dup import near_groups
 from hopweave.llm.packing import packed
 from hopweave.llm.repeats import without_repeats
-from hopweave.llm.shared import documents, fresh, materialise, small_batches
+from hopweave.llm.shared import discard, documents, fresh, materialise, scratch, shared_dir, small_batches
 
 
 def _columns(docs: DataFrame) -> list:
@@ -83,9 +85,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result over ``documents``. What a stage writes on its way is deleted once the next table is
+    written, as is that table once the one after is."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/hopweave-{name}-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+        if i:
+            discard(docs)
+        docs = spark.read.schema(out.schema).parquet(path)
+        docs._written_to = path
+    return STAGES[-1][1](spark, docs, sf_dir)

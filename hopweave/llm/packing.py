@@ -7,14 +7,16 @@ is compared with the ``REACH`` next ones of its bucket (equal first bin), so a b
 its length. The search is approximate; its recall against brute force is tested. Edges join a document
 to its ``NEAREST`` most similar ones found of at least ``LEAST`` estimated Jaccard similarity.
 
-Path: in every connected component the walk begins at an unvisited document of lowest degree and goes
+Components of more than ``MOST`` documents are cut: their weakest edges go first, by ``CUTS``, and what is still
+too large then, documents with like sketches, is divided by hash. Path: in every component the walk begins at an unvisited document of lowest degree and goes
 to the most similar unvisited neighbour until there is none; then it begins anew. Paths follow each
 other in streams (as many as the corpus needs) that are cut into windows of ``window`` words; texts go
 on in the next window where one ends, and only the last window of a stream isn't full.
 
 Defined results: texts without words have no piece; null text counts as empty; rows with null doc_id
 are packed with a null doc_id; repeated rows are packed once each, in different streams where there
-are several, so copies of a text meet as rarely as chance has it; ties go to the smaller node hash.
+are several, so copies of a text meet as rarely as chance has it; texts of any length are read whole; one
+doc_id may stand on several texts; ties go to the smaller node hash; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from .textnum import U, Words, chunks, grams, mix, word_counts
 
 BINS, TREES, REACH, NEAREST, LEAST = 64, 16, 3, 6, 0.2
 WINDOW, PER_STREAM = 2048, 128
+MOST, CUTS = 4096, (20, 32, 48, 64)
 
 
 def sketches(texts: pa.Array, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def _edges(reach: int, least: float):
 def graph(nodes: DataFrame, reach: int = REACH, nearest: int = NEAREST, least: float = LEAST) -> DataFrame:
     """(a, b, w): edges of the nearest-neighbour graph, both ways; w of BINS bins agree."""
     keyed = nodes.where("sketch IS NOT NULL").select("node", "heads", "sketch").mapInArrow(_trees, "key long, node long, sketch binary")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "sketch", "node").mapInArrow(_edges(reach, least), "a long, b long, w int").distinct()
+    pairs = keyed.repartitionByRange("key", "sketch", "node").sortWithinPartitions("key", "sketch", "node").mapInArrow(_edges(reach, least), "a long, b long, w int").distinct()
     both = pairs.union(pairs.select("b", "a", "w"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
     top = both.withColumn("r", rank).where(F.col("r") <= nearest).drop("r")
@@ -147,11 +150,31 @@ def walk(nodes: list[int], near: list[list[tuple[int, int]]]) -> list[int]:
     return out
 
 
+def cut_components(every: DataFrame, edges: DataFrame, most: int = MOST, steps: tuple[int, ...] = CUTS) -> DataFrame:
+    """(node, root) of components of which none has more than about ``most`` nodes."""
+    for least in (*steps, None):
+        every = materialise(every, "components")
+        sizes = every.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > most)
+        big = materialise(sizes, "large")
+        if big.isEmpty():
+            return every
+        inside, rest = every.join(big, "root"), every.join(big, "root", "left_anti").select("node", "root")
+        if least is None:
+            part = F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("size") / most))
+            return rest.union(inside.select("node", F.xxhash64("root", part)))
+        held = edges.where((F.col("a") < F.col("b")) & (F.col("w") >= least)).join(inside.select(F.col("node").alias("a")), "a").select("a", "b")
+        roots = components(held)
+        again = roots.union(roots.select("root", "root")).distinct()
+        every = rest.union(inside.select("node").join(again, "node", "left").select("node", F.coalesce("root", "node")))
+    return every
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, nodes, near = None, [], []
 
     def done() -> pa.RecordBatch:
-        path = walk(nodes, near)
+        own = set(nodes)
+        path = walk(nodes, [[e for e in x if e[0] in own] for x in near])
         return pa.record_batch([pa.array(path, pa.int64()), pa.array(range(len(path)), pa.int32())], names=["node", "step"])
 
     for b in batches:
@@ -189,7 +212,7 @@ def _fill(window: int):
     return run
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_stream: int = PER_STREAM) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_stream: int = PER_STREAM, most: int = MOST) -> DataFrame:
     """(window_id, seq, doc_id, start, n_tokens): the pieces of every window in order; ``start`` and
     ``n_tokens`` count words between white space."""
     texts = as_text(docs, id_col, text_col).withColumn("node", F.xxhash64("doc_id", "text"))
@@ -198,7 +221,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     nodes = materialise(nodes, "nodes")
     edges = graph(nodes)
     roots = components(edges.where("a < b"))
-    every = roots.union(roots.select("root", "root")).distinct()
+    every = cut_components(roots.union(roots.select("root", "root")).distinct(), edges, most)
     near = edges.groupBy("a").agg(F.collect_list(F.struct("b", "w")).alias("near"))
     joined = near.withColumnRenamed("a", "node").join(every, "node")
     paths = joined.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_paths, "node long, step int")

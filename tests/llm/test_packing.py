@@ -5,7 +5,7 @@ import random
 import pytest
 
 from hopweave.llm.near_dup import components
-from hopweave.llm.packing import op4_packing, packed, walk
+from hopweave.llm.packing import cut_components, op4_packing, packed, walk
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,3 +95,39 @@ def test_components_of_no_edges(spark):
     assert components(none).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
+
+
+def test_large_components_are_cut_and_all_is_packed(spark):
+    """One text in every document: a component of all, spread over tasks."""
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(80)] = f"x{r.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packed(docs, window=400, per_stream=4, most=40).collect()
+    got = {}
+    for x in out:
+        got[x.doc_id] = got.get(x.doc_id, 0) + x.n_tokens
+    assert got == {i: 80 for i in range(300)}
+    size = {}
+    for x in out:
+        size[x.window_id] = size.get(x.window_id, 0) + x.n_tokens
+    assert max(size.values()) <= 400
+
+
+def test_components_are_cut_at_their_weakest_edges(spark):
+    edges = [(1, 2, 60), (2, 3, 60), (3, 4, 21), (4, 5, 60), (5, 6, 60), (7, 8, 13)]
+    e = spark.createDataFrame(edges + [(b, a, w) for a, b, w in edges], "a long, b long, w int")
+    every = spark.createDataFrame([(i, 1) for i in range(1, 7)] + [(7, 7), (8, 7)], "node long, root long")
+    got = {}
+    for x in cut_components(every, e, most=3).collect():
+        got.setdefault(x.root, set()).add(x.node)
+    assert sorted(map(sorted, got.values())) == [[1, 2, 3], [4, 5, 6], [7, 8]]
+    tiny = {}
+    for x in cut_components(every, e, most=1).collect():
+        tiny.setdefault(x.root, set()).add(x.node)
+    assert sum(map(len, tiny.values())) == 8
