@@ -41,9 +41,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own, th, copies, keep = fresh(docs, "own", "th", "copies", "keep")
     groups = materialise(near_groups(docs).select(F.col("doc_id").alias(own), F.col("th").alias(th), F.col("copies").alias(copies), F.col("keep").alias(keep)), "near")
     same = (docs["doc_id"].cast("long") == F.col(own)) & (F.xxhash64(docs["text"].cast("string")) == F.col(th))
-    kept = docs.join(groups.where(~F.col(keep) | (F.col(copies) > 1)), same, "left_anti").select(*_columns(docs))
+    # hash joins at every size, so the plan that is measured on small tables is the one that runs on large ones
+    kept = docs.join(groups.where(~F.col(keep) | (F.col(copies) > 1)).hint("shuffle_hash"), same, "left_anti").select(*_columns(docs))
+    several = groups.where(F.col(keep) & (F.col(copies) > 1))
+    if several.isEmpty():
+        return kept
     # rows kept that are there several times come back once
-    again = docs.join(groups.where(F.col(keep) & (F.col(copies) > 1)), same).dropDuplicates([own, th]).select(*_columns(docs))
+    again = docs.join(several.hint("shuffle_hash"), same).dropDuplicates([own, th]).select(*_columns(docs))
     return kept.union(again)
 
 
