@@ -33,7 +33,7 @@ def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that answer in all ways: well, after two failures, always with an error of either kind, and with
     handling that ends in an error."""
     n = F.col("page_id") % 10
-    return _pages(spark, sf_dir).select("url", "html", F.when(n == 3, 500).when(n == 4, 404).when(n == 6, 403).otherwise(200).alias("status"), F.when(n == 5, 2).otherwise(0).alias("fails"), F.when(n == 7, "error").alias("error"))
+    return _pages(spark, sf_dir).select("page_id", "url", "html", F.when(n == 3, 500).when(n == 4, 404).when(n == 6, 403).otherwise(200).alias("status"), F.when(n == 5, 2).otherwise(0).alias("fails"), F.when(n == 7, "error").alias("error"))
 
 
 #: State of every URL after a crawl of ``_site``, in columns that tell the rules apart.
@@ -90,7 +90,7 @@ class _Twice(frontier.Controller):
 
 @query(f"WITH k AS (SELECT DISTINCT {NORMAL} AS url FROM pages), s AS (SELECT url, length({HOST}) % 2 = 0 AS sent, length(url) % 2 = 0 AS twice FROM k) SELECT url, true AS done, CASE WHEN sent THEN 200 END AS status, CASE WHEN NOT sent THEN 0 WHEN twice THEN 2 ELSE 1 END AS num_visit, CASE WHEN sent THEN epoch_us(CASE WHEN twice THEN TIMESTAMP '2024-01-01 01:00:00' ELSE TIMESTAMP '2024-01-01' END) END AS last_us, 1000 AS score FROM s")
 def crawl_revisits(spark, sf_dir):
-    p = _pages(spark, sf_dir).select("url", "html")
+    p = _pages(spark, sf_dir).select("page_id", "url", "html")
     out = frontier.crawl(spark, p, p.select("url"), ctrl=_Twice(), max_depth=0)
     return _told(out.withColumn("depth", F.col("score"))).select("url", "done", "status", "num_visit", "last_us", F.col("depth").alias("score"))
 

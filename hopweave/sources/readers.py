@@ -64,12 +64,14 @@ def sitemap_texts(rows: DataFrame, xml: str) -> DataFrame:
 def answers(pages: DataFrame) -> DataFrame:
     """(key, status, fails, error, html): what a table of pages answers for every normal URL.
 
-    Of several pages with one normal URL the one whose URL is written first counts. Columns that ``pages`` may have:
-    ``status`` (200 where null), ``fails``: how often a fetch gets 503 before that, and ``error``: the class (retry,
-    error, fatal) of the error that handling the page ends in."""
+    Of several pages with one normal URL the one whose URL is written first counts, of several with that the least
+    ``page_id``, then the least row, so that every reading of a table gives the same. Columns that ``pages`` may have:
+    ``page_id``, ``status`` (200 where null), ``fails``: how often a fetch gets 503 before that, and ``error``: the
+    class (retry, error, fatal) of the error that handling the page ends in."""
     have = lambda c, kind, other: (F.coalesce(F.col(c).cast(kind), F.lit(other)) if c in pages.columns else F.lit(other).cast(kind)).alias(c)
-    rows = pages.select(normalized(F.col("url")).alias("key"), "url", F.struct(have("status", "int", 200), have("fails", "int", 0), have("error", "string", None), F.col("html")).alias("r"))
-    return rows.where("key IS NOT NULL").groupBy("key").agg(F.min_by("r", "url").alias("r")).select("key", "r.*")
+    own = [F.col("page_id")] if "page_id" in pages.columns else []
+    rows = pages.select(normalized(F.col("url")).alias("key"), F.struct("url", *own, have("status", "int", 200), have("fails", "int", 0), have("error", "string", None), F.col("html")).alias("r"))
+    return rows.where("key IS NOT NULL").groupBy("key").agg(F.min("r").alias("r")).select("key", "r.status", "r.fails", "r.error", "r.html")
 
 
 def fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:

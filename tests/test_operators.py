@@ -267,6 +267,17 @@ def test_steps_give_what_one_run_gives(spark, tmp_path):
     assert states(more.where("url <> 'http://n/'")) == states(whole) and more.where("url = 'http://n/'").first().status == 404
 
 
+def test_the_same_page_answers_at_every_reading(spark):
+    """Of pages with one URL written alike the least id counts, without ids the least row, in whatever order they are read."""
+    rows = [(i, "http://h/", 200 + i, None if i % 2 else f"<a href='/{i}'>") for i in range(1, 9)]
+    for given in (rows, rows[::-1], rows[4:] + rows[:4]):
+        pages = spark.createDataFrame(given, "page_id long, url string, status int, html string").repartition(3)
+        assert [tuple(r) for r in readers.answers(pages).select("key", "status", "html").collect()] == [("http://h/", 201, None)]
+        assert readers.answers(pages.drop("page_id")).first().status == 201
+    late = spark.createDataFrame(rows[::-1] + [(9, "HTTP://h/", 404, "")], "page_id long, url string, status int, html string")
+    assert readers.answers(late).first().status == 404  # the URL as written comes first
+
+
 def test_fatal_errors_end_the_run(spark):
     pages = spark.createDataFrame([("http://h/", "", "fatal")], "url string, html string, error string")
     with pytest.raises(RuntimeError, match="http://h/"):
