@@ -278,6 +278,17 @@ def test_the_same_page_answers_at_every_reading(spark):
     assert readers.answers(late).first().status == 404  # the URL as written comes first
 
 
+def test_states_do_not_hang_on_the_order_of_pages(spark, tmp_path):
+    from hopweave.plans import catalogue
+
+    rows = [(i, f"http://h/{i % 6}", f'<a href="/x{i}">') for i in range(24)]
+    for name, given in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(given, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / name / "pages.parquet"))
+    for query in ("crawl_states", "frontier_waves"):
+        a, b = (sorted(tuple(r) for r in catalogue.QUERIES[query](spark, str(tmp_path / d)).select("url", "status", "num_visit").collect()) for d in "ab")
+        assert a == b and ("http://h/x0", 404, 0) in a and not any(u == "http://h/x6" for u, *_ in a), query
+
+
 def test_fatal_errors_end_the_run(spark):
     pages = spark.createDataFrame([("http://h/", "", "fatal")], "url string, html string, error string")
     with pytest.raises(RuntimeError, match="http://h/"):
