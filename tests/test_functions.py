@@ -3,12 +3,13 @@ from __future__ import annotations
 import gzip
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hopweave.functions import content, freshness, html, urls
+from hopweave.functions import content, freshness, html, letters, urls
 from hopweave.operators import requests
 from hopweave.operators.rules import PAGE_FILES, Pattern, Router, glob_regex
 from hopweave.sources import readers
@@ -239,3 +240,17 @@ def test_seeds(spark, tmp_path):
     assert [r.url for r in readers.seed_file(spark, str(tmp_path / "seeds"), 2, 2).collect()] == ["http://b.com/", "http://a.com:80"]
     with pytest.raises(Exception, match="bad seed"):
         readers.seeds(spark.createDataFrame([("nope",)], "url string")).collect()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("etaoinsr xé", max_size=40)), max_size=12), st.integers(0, 3), st.sampled_from([3, 40, 1 << 20]))
+def test_letter_pairs_are_those_that_replace_finds(texts, offset, piece):
+    of = "etaoinsr"
+    want = [None if t is None else sum(((len(t) - len(t.replace(x + y, ""))) // 2 % 2) << (8 * i + j) for i, x in enumerate(of) for j, y in enumerate(of)) for t in texts]
+    held, letters.PIECE = letters.PIECE, piece
+    try:
+        for kind in (pa.string(), pa.large_string()):
+            got = letters.parities(pa.array(texts, kind).slice(offset), of).to_pylist()
+            assert [None if x is None else x % (1 << 64) for x in got] == want[offset:]
+    finally:
+        letters.PIECE = held
