@@ -175,6 +175,21 @@ def test_similar_pairs_and_greedy_keep(spark):
     assert {x.id: x.kept for x in dedup.keep_exact(same, "id", "fp").collect()} == {1: True, 2: False, 3: False}
 
 
+def test_similar_pairs_stay_few_where_bits_are_dull(spark):
+    """Values whose bits are mostly alike in three quarters of the number don't all meet; all that are near are found."""
+    r = random.Random(7)
+    fps = sorted({sum((r.random() < (0.5 if i % 16 < 4 else 0.03)) << i for i in range(63)) for _ in range(1500)})
+    df = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    want = {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    for n in (100, 300_000, 3_000_000):
+        blocks, same = dedup._blocks(n, 3, 64)
+        assert blocks == same + 3 and same >= (2 if n > 100 else 1)
+    masks = dedup._dealt(df.select(F.col("fp").alias("f")), 4, 64)
+    assert sum(masks) == (1 << 64) - 1 and max(sum(m >> i & 1 for i in range(64) if i % 16 < 4) for m in masks) <= 5
+    got = [tuple(x) for x in dedup.similar_pairs(df, "id", "fp", 3).collect()]
+    assert len(got) == len(set(got)) and {(max(a, b), min(a, b), d) for a, b, d in got} == want
+
+
 def test_retries_reset_and_complete(spark):
     log = spark.createDataFrame([("u", i, f) for i, f in enumerate([1, 1, 0, 1, 1, 1, 0, 1])], "url string, n int, failed int")
     out = [(r.n, r.retry, r.completed) for r in state.retries(log, "url", ["n"], F.col("failed") == 1, 3).orderBy("n").collect()]
