@@ -190,6 +190,16 @@ def test_similar_pairs_stay_few_where_bits_are_dull(spark):
     assert len(got) == len(set(got)) and {(max(a, b), min(a, b), d) for a, b, d in got} == want
 
 
+@pytest.mark.parametrize("query", ["near_dup_classes", "near_dup_keep", "near_dup_keep_radius", "near_dup_pairs"])
+def test_fingerprints_are_taken_once(spark, query):
+    """What a query returns reads written fingerprints: no plan goes back to the texts."""
+    from hopweave.plans import catalogue
+    from tests.conftest import SF
+
+    plan = catalogue.QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "replace(" not in plan
+
+
 def test_retries_reset_and_complete(spark):
     log = spark.createDataFrame([("u", i, f) for i, f in enumerate([1, 1, 0, 1, 1, 1, 0, 1])], "url string, n int, failed int")
     out = [(r.n, r.retry, r.completed) for r in state.retries(log, "url", ["n"], F.col("failed") == 1, 3).orderBy("n").collect()]
