@@ -9,6 +9,7 @@ from __future__ import annotations
 import ipaddress
 import posixpath
 import re
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -110,6 +111,17 @@ def try_link(base: str | None, ref: str | None) -> str | None:
         return None
 
 
+_ORIGIN = re.compile(r"https?://[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*(?=[/?#]|\Z)")
+_ROOTED = re.compile(r"""(?:/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)+/?(?:\?[!"$-~]*[!"$->@-~])?""")
+
+
+def linker(base: str | None) -> Callable[[str], str | None]:
+    """``try_link`` for the references of one page. Plain ones from the root of a plain site are normal behind its name."""
+    m = _ORIGIN.match(base or "")
+    origin = m[0] if m and try_normalize(m[0]) == m[0] else None
+    return lambda ref: origin + ref if origin and _ROOTED.fullmatch(ref) else try_link(base, ref)
+
+
 def normalized(url: Column) -> Column:
     """Canonical form of a URL column; null where there is none."""
     plain = url.rlike(PLAIN)

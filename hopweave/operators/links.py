@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopweave.functions.html import hrefs, located
-from hopweave.functions.urls import part, resolve, resolved, same_domain, BadURL
+from hopweave.functions.urls import linker, part, resolve, resolved, same_domain, BadURL
 from hopweave.operators.rules import Pattern
 
 
@@ -18,6 +20,18 @@ def _base(url: str, href: str) -> str:
         return url
 
 
+def _each(kind: pa.DataType, row: Callable, *columns: pa.Array) -> pa.Array:
+    """``row`` of the values of every row. A batch holds as many pages as the session says, of any length, so only one page
+    at a time is made a Python string, and what is found becomes Arrow data every few pages."""
+    out, held = [], []
+    for values in zip(*columns):
+        held.append(row(*[v.as_py() for v in values]))
+        if len(held) == 256:
+            out.append(pa.array(held, kind))
+            held = []
+    return pa.concat_arrays([*out, pa.array(held, kind)])
+
+
 def anchor_refs(url: Column, html: Column) -> Column:
     """array<struct(base, ref)> of the anchors of a page, in order; duplicates stay. A self-closing base
     tag changes the base of what follows."""
@@ -49,25 +63,25 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def extracted(pages: DataFrame, positions: tuple[tuple[str, str], ...] = (("a", "href"),), scripts: bool = False, free: bool = False, url: str = "url", html: str = "html") -> DataFrame:
     """A row per reference at one of ``positions`` (tag, attribute), in script assignments and in
     running text where asked for: ``tag`` and ``link``. Base tags count, closed or not."""
-
-    @F.arrow_udf("array<struct<tag:string,base:string,ref:string>>")
+    wanted = tuple({*positions, ("base", "href")})
+
+    def row(url_: str | None, text: str | None) -> list[dict]:
+        link, out = linker(url_), []
+        for tag, ref in located(text or "", wanted, scripts, free):
+            if tag == "base":
+                link = linker(_base(url_ or "", ref))
+                if ("base", "href") not in positions:
+                    continue
+            out.append({"tag": tag, "link": link(ref)})
+        return out
+
+    @F.arrow_udf("array<struct<tag:string,link:string>>")
     def run(u: pa.Array, h: pa.Array) -> pa.Array:
-        out = []
-        wanted = tuple({*positions, ("base", "href")})
-        for url_, text in zip(u.to_pylist(), h.to_pylist()):
-            base, rows = url_, []
-            for tag, ref in located(text or "", wanted, scripts, free):
-                if tag == "base":
-                    base = _base(url_ or "", ref)
-                    if ("base", "href") not in positions:
-                        continue
-                rows.append({"tag": tag, "base": base, "ref": ref})
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("tag", pa.string()), ("base", pa.string()), ("ref", pa.string())])))
+        return _each(pa.list_(pa.struct([("tag", pa.string()), ("link", pa.string())])), row, u, h)
 
     keep = [c for c in pages.columns if c != html]
     each = pages.select(*keep, F.posexplode(run(F.col(url), F.col(html))).alias("nth", "__r"))
-    return each.select(*keep, "nth", F.col("__r.tag").alias("tag"), resolved(F.col("__r.base"), F.col("__r.ref")).alias("link")).where("link IS NOT NULL")
+    return each.select(*keep, "nth", F.col("__r.tag").alias("tag"), F.col("__r.link").alias("link")).where("link IS NOT NULL")
 
 
 def sniffed_urls(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -75,7 +89,7 @@ def sniffed_urls(pages: DataFrame, html: str = "html") -> DataFrame:
 
     @F.arrow_udf("array<string>")
     def run(h: pa.Array) -> pa.Array:
-        return pa.array([[ref for _, ref in located(x or "", (), False, True)] for x in h.to_pylist()], pa.list_(pa.string()))
+        return _each(pa.list_(pa.string()), lambda x: [ref for _, ref in located(x or "", (), False, True)], h)
 
     keep = [c for c in pages.columns if c != html]
     return pages.select(*keep, F.explode(run(F.col(html))).alias("link"))

@@ -254,3 +254,9 @@ def test_letter_pairs_are_those_that_replace_finds(texts, offset, piece):
             assert [None if x is None else x % (1 << 64) for x in got] == want[offset:]
     finally:
         letters.PIECE = held
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(["http://h.com/a/b?q", "https://h", "http://h-.com/", "http://h:80/x", "HTTP://h/", "http://" + "a" * 70 + ".com/", "http://u@h/", "http://h?x", "http://h\n/x", " http://h/", "", None]), st.one_of(st.text("/ab.~-_?#%&=;:[] \t\n\"é", max_size=12), st.text("/ab.?=", max_size=10).map(lambda x: "/a" + x)))
+def test_links_of_a_page_are_those_of_each_reference(base, ref):
+    assert urls.linker(base)(ref) == urls.try_link(base, ref)

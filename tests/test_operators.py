@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from urllib.parse import parse_qsl, urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,6 +386,18 @@ def test_seed_files_keep_their_order(spark, tmp_path):
     assert got == ["http://h/2998", "http://h/2999", "http://h/b"]
 
 
+def test_pages_of_a_batch_are_held_one_at_a_time():
+    import tracemalloc
+
+    pages = pa.array([("x%d" % i) * 50_000 for i in range(300)])
+    tracemalloc.start()
+    out = links._each(pa.list_(pa.int64()), lambda h: [len(h)] * 3, pages)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [[len(h)] * 3 for h in pages.to_pylist()] and most < 2_000_000
+    assert links._each(pa.list_(pa.int64()), lambda h: [1], pages.slice(0, 0)).to_pylist() == []
+
+
 def test_link_filters(spark):
     df = spark.createDataFrame([("http://a.e.com/", "http://b.e.com/x"), ("http://a.e.com/", "https://a.e.com/x"), ("http://a.e.com/", "http://a.e.com/x.mp3"), ("http://a.e.com/", "http://z.org/x")], "p string, l string")
     ask = lambda **k: [r.ok for r in df.select(links.in_scope(F.col("p"), F.col("l"), F.lit(1), Pattern(exclude_file=["*.mp3"], host=k.pop("host", [])), **k).alias("ok")).collect()]
