@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopweave.functions.html import hrefs, located
-from hopweave.functions.urls import linker, part, resolve, resolved, same_domain, BadURL
+from hopweave.functions.urls import linker, part, resolve, same_domain, BadURL
 from hopweave.operators.rules import Pattern
 
 
@@ -32,22 +32,22 @@ def _each(kind: pa.DataType, row: Callable, *columns: pa.Array) -> pa.Array:
     return pa.concat_arrays([*out, pa.array(held, kind)])
 
 
-def anchor_refs(url: Column, html: Column) -> Column:
-    """array<struct(base, ref)> of the anchors of a page, in order; duplicates stay. A self-closing base
-    tag changes the base of what follows."""
+def anchor_links(url: Column, html: Column) -> Column:
+    """array<string> of the normalized links of the anchors of a page, in order; duplicates stay, and references that
+    aren't crawlable URLs are null. A self-closing base tag changes the base of what follows."""
 
-    @F.arrow_udf("array<struct<base:string,ref:string>>")
+    def row(url_: str | None, text: str | None) -> list[str | None]:
+        link, out = linker(url_), []
+        for tag, ref in hrefs(text or ""):
+            if tag == "base":
+                link = linker(_base(url_ or "", ref))
+            else:
+                out.append(link(ref))
+        return out
+
+    @F.arrow_udf("array<string>")
     def run(u: pa.Array, h: pa.Array) -> pa.Array:
-        out = []
-        for url_, text in zip(u.to_pylist(), h.to_pylist()):
-            base, rows = url_, []
-            for tag, ref in hrefs(text or ""):
-                if tag == "base":
-                    base = _base(url_ or "", ref)
-                else:
-                    rows.append({"base": base, "ref": ref})
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("base", pa.string()), ("ref", pa.string())])))
+        return _each(pa.list_(pa.string()), row, u, h)
 
     return run(url, html)
 
@@ -56,8 +56,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """A row per anchor of ``pages`` (without the page text) with ``nth`` and its normalized ``link``;
     references that aren't crawlable URLs have none."""
     keep = [c for c in pages.columns if c != html]
-    each = pages.select(*keep, F.posexplode(anchor_refs(F.col(url), F.col(html))).alias("nth", "__r"))
-    return each.select(*keep, "nth", resolved(F.col("__r.base"), F.col("__r.ref")).alias("link")).where("link IS NOT NULL")
+    return pages.select(*keep, F.posexplode(anchor_links(F.col(url), F.col(html))).alias("nth", "link")).where("link IS NOT NULL")
 
 
 def extracted(pages: DataFrame, positions: tuple[tuple[str, str], ...] = (("a", "href"),), scripts: bool = False, free: bool = False, url: str = "url", html: str = "html") -> DataFrame:

@@ -398,6 +398,15 @@ def test_pages_of_a_batch_are_held_one_at_a_time():
     assert links._each(pa.list_(pa.int64()), lambda h: [1], pages.slice(0, 0)).to_pylist() == []
 
 
+def test_references_are_read_and_resolved_in_one_step(spark):
+    """One Python worker a task, and what a base tag says of the references behind it."""
+    html = '<a href="/x"><a href="y?"><base href="/d/e"/><a href="y"><a href="/%zz"><a href="//o/#f"><a href="/q?a=b#c">'
+    pages = spark.createDataFrame([(1, "http://h/a/b", html), (2, "http://h/", None), (3, None, "<a href='/x'>")], "page_id int, url string, html string")
+    for found in (links.page_links(pages), links.extracted(pages)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert [(r.page_id, r.link) for r in found.orderBy("page_id", "nth").collect()] == [(1, x) for x in ("http://h/x", "http://h/a/y", "http://h/d/y", "http://o/", "http://h/q?a=b")]
+
+
 def test_link_filters(spark):
     df = spark.createDataFrame([("http://a.e.com/", "http://b.e.com/x"), ("http://a.e.com/", "https://a.e.com/x"), ("http://a.e.com/", "http://a.e.com/x.mp3"), ("http://a.e.com/", "http://z.org/x")], "p string, l string")
     ask = lambda **k: [r.ok for r in df.select(links.in_scope(F.col("p"), F.col("l"), F.lit(1), Pattern(exclude_file=["*.mp3"], host=k.pop("host", [])), **k).alias("ok")).collect()]
